@@ -14,6 +14,9 @@ UPLOAD_DATE_SHAPE = (
     r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}"
     r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2})$"
 )
+# Fixed patterns: month 1-12 and day 1-31 in the two written forms.
+ISO_DAY = "^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$"
+COMPACT_DAY = "^[0-9]{4}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$"
 # Fixed pattern: the integer start of a text, without leading zeros.
 COMPACT_NUMBER = r"^\s*\+?0*([0-9]+)"
 
@@ -49,22 +52,23 @@ def compact_digits(text: Column) -> Column:
 
 def rolling_date(text: Column, month_at: int, day_at: int, shape: str) -> Column:
     """A date from its digits; days 1-31 pass in any month and run over into the next, as
-    SQLite dates do. Takes a column that is computed once."""
+    SQLite dates do. The shape already bounds month and day."""
     year = F.substring(text, 1, 4).try_cast("int")
     month = F.substring(text, month_at, 2).try_cast("int")
     day = F.substring(text, day_at, 2).try_cast("int")
-    usable = text.rlike(shape) & month.between(1, 12) & day.between(1, 31)
-    return F.when(usable, F.date_add(F.make_date(year, month, F.lit(1)), day - 1))
+    return F.when(
+        text.rlike(shape), F.date_add(F.make_date(year, month, F.lit(1)), day - F.lit(1))
+    )
 
 
 def rolling_iso_date(head: Column) -> Column:
     """From the first ten characters of a timestamp-like text."""
-    return rolling_date(head, 6, 9, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return rolling_date(head, 6, 9, ISO_DAY)
 
 
 def rolling_compact_date(digits: Column) -> Column:
     """From ``compact_digits``."""
-    return rolling_date(digits, 5, 7, "^[0-9]{8}$")
+    return rolling_date(digits, 5, 7, COMPACT_DAY)
 
 
 def days_past(due: Column, as_of: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions.conditions import first_match
 from ..functions.dates import compact_digits, rolling_compact_date, rolling_iso_date
 from ..functions.numbers import leading_real, rounded, whole_text
 from ..functions.text import blank_to_null
-from .common import unpivot_metrics
+from .common import settle, unpivot_metrics
 
 # Rejection reasons, in the order they are tested.
 MISSING_ID = "Missing invoice ID"
@@ -89,9 +89,10 @@ def normalize(raw: DataFrame) -> DataFrame:
         **{name: whole_text(leading_real(name)) for name in NUMBER_IDS},
         "invoice_amount": leading_real("invoice_amount"),
     }
-    return trimmed.select(
+    parsed = trimmed.select(
         *[typed.get(name, F.col(name)).alias(name) for name in trimmed.columns]
-    ).distinct()
+    )
+    return settle(parsed, *parsed.columns).distinct()
 
 
 def review(normalized: DataFrame) -> DataFrame:

@@ -24,3 +24,15 @@ def unpivot_metrics(one_row: DataFrame, names: Sequence[str]) -> DataFrame:
         for name in names
     ]
     return one_row.select(F.inline(F.array(*pairs)))
+
+
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Keep the named computed columns from being computed again by filters placed on them.
+
+    The optimizer copies the expression behind a column into every filter it pushes below the
+    projection. Long parsing expressions would then run twice and outgrow one compiled method.
+    A one-row generator ends that: filters on its output stay above it.
+    """
+    kept = [name for name in df.columns if name not in names]
+    out = df.select(*kept, F.inline(F.array(F.struct(*names))))
+    return out.select(*df.columns)

@@ -12,6 +12,7 @@ from ..functions.dates import date_shaped, upload_date
 from ..functions.numbers import number_or_null
 from ..functions.text import fill, strip_to_null
 from ..schemas import REQUIRED_UPLOAD_COLUMNS
+from .common import settle
 
 # Date fields in the order they are checked, messages and statuses.
 DATE_COLUMNS = (
@@ -78,7 +79,7 @@ def validate_rows(rows: DataFrame) -> DataFrame:
         for name in DATE_COLUMNS
     ]
     found = staged.withColumn("errors", messages([*missing, *numbers, *dates]))
-    return found.select(*rows.columns, "errors")
+    return settle(found.select(*rows.columns, "errors"), "errors")
 
 
 def valid_rows(validated: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def valid_rows(validated: DataFrame) -> DataFrame:
 
 def row_errors(validated: DataFrame) -> DataFrame:
     """One row per error: row number, position within the row, message."""
-    return validated.filter(F.size("errors") > 0).select(
+    return validated.select(
         "row_number", F.posexplode("errors").alias("position", "message")
     )
 

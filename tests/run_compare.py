@@ -17,6 +17,7 @@ def main(sf_dir="/root/testdata/sf0.01", *names):
     for name, query in entry.queries().items():
         if names and not any(n in name for n in names):
             continue
+        print(f"@@ {name}", file=sys.stderr, flush=True)
         start = time.perf_counter()
         try:
             df = query(spark, sf_dir)
