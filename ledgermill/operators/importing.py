@@ -114,6 +114,7 @@ def upsert(
     """Current rows with changed columns replaced by key; other columns keep their values.
 
     ``changes`` has one row per key. ``run_at`` maps clock columns to the time of the run.
+    ``change`` says what happened to each row: created, updated or kept.
     """
     replaced = [name for name in changes.columns if name != key and name in schema.fieldNames()]
     old, new = conform(current, schema).alias("old"), changes.alias("new")
@@ -132,7 +133,8 @@ def upsert(
         return value.cast(field.dataType).alias(name)
 
     return old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer").select(
-        *[pick(field) for field in schema.fields]
+        *[pick(field) for field in schema.fields],
+        F.when(~touched, "kept").when(F.col(f"old.{key}").isNull(), "created").otherwise("updated").alias("change"),
     )
 
 

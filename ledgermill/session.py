@@ -35,16 +35,20 @@ def local_session(cores: int | str = "*", app: str = "ledgermill", **conf: str)
     return spark
 
 
+_TEST_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a session that names none (tests on one machine) gets a temporary folder.
+    Only a session on one machine that names none (tests) gets a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="ledgermill-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _TEST_FOLDERS:
+        _TEST_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="ledgermill-")
+    return _TEST_FOLDERS[context.applicationId]
