@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import column, known_or_null, strip
+from .text import column
 
 # Fixed patterns: a whole numeric text, and the longest numeric start of a text.
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 NUMBER_START = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
 def number_or_null(c: Column | str) -> Column:
     """Text to DOUBLE; anything that is not a finite decimal number becomes NULL."""
-    text = strip(c)
+    text = column(c)
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
+def amount_digits(c: Column | str) -> Column:
+    """Number text without thousands commas, currency and percent signs; (x) becomes -x."""
+    plain = F.translate(column(c), "\u00a0,£%", " ")
+    return F.regexp_replace(plain, r"^\s*\((.*)\)\s*$", "-$1")
+
+
 def amount_text(c: Column | str) -> Column:
-    """Number text with thousands commas, currency and percent signs; (x) means -x."""
-    text = strip(F.translate(known_or_null(c), ",£%", ""))
-    return number_or_null(F.regexp_replace(text, r"^\((.*)\)$", "-$1"))
+    """The number in such a text, NULL when there is none."""
+    return number_or_null(amount_digits(c))
 
 
 def leading_real(c: Column | str) -> Column:

@@ -31,8 +31,14 @@ def blank_to_null(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Trim every kind of whitespace at both ends."""
-    return F.btrim(column(c), F.lit(WHITESPACE))
+    """Trim every kind of whitespace at both ends.
+
+    Text that starts and ends with a printable ASCII character, the usual case, is left alone
+    without searching the list of whitespace characters.
+    """
+    text = column(c)
+    plain = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(plain, text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 
 def strip_to_null(c: Column | str) -> Column:
@@ -40,8 +46,8 @@ def strip_to_null(c: Column | str) -> Column:
 
 
 def known_or_null(c: Column | str) -> Column:
-    """Stripped text, or NULL when it is one of the words for a missing value."""
-    text = strip(c)
+    """Text, or NULL when it is one of the words for a missing value. Takes ``strip`` text."""
+    text = column(c)
     return F.when(~F.lower(text).isin(*MISSING_WORDS), text)
 
 
@@ -67,8 +73,11 @@ def registry_key(c: Column | str) -> Column:
 
 
 def yes_no_text(c: Column | str) -> Column:
-    """'True' / 'False' for the known words, any other text unchanged."""
-    text = known_or_null(c)
+    """'True' / 'False' for the known words, any other text unchanged.
+
+    Takes ``known_or_null`` text.
+    """
+    text = column(c)
     word = F.lower(text)
     return (
         F.when(word.isin(*TRUE_WORDS), F.lit("True"))
@@ -78,8 +87,11 @@ def yes_no_text(c: Column | str) -> Column:
 
 
 def terms_changed_flag(c: Column | str) -> Column:
-    """Unknown / Yes / No from a field that holds either a flag or prose."""
-    word = F.lower(known_or_null(c))
+    """Unknown / Yes / No from a field that holds either a flag or prose.
+
+    Takes ``known_or_null`` text.
+    """
+    word = F.lower(column(c))
     says_no = F.lit(False)
     for phrase in NO_CHANGE_PHRASES:
         says_no = says_no | word.contains(phrase)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.conditions import first_match, messages
 from ..functions.dates import date_shaped, days_past, upload_date
 from ..functions.numbers import number_or_null, truncated_int
-from ..functions.text import strip_to_null
+from ..functions.text import strip, strip_to_null
 from ..schemas import CUSTOMERS, INVOICES, MONEY, conform
 
 # Fixed values.
@@ -49,9 +49,9 @@ def normalize_rows(rows: DataFrame, as_of: date | str = DEFAULT_AS_OF) -> DataFr
         "row_number",
         *[strip_to_null(raw(name)).alias(name) for name in texts],
         *[upload_date(f"__{name}").alias(name) for name in dates],
-        *[truncated_int(raw(name)).alias(name) for name in WHOLE_NUMBERS],
-        F.coalesce(number_or_null(raw("invoice_amount")), F.lit(0.0)).cast(MONEY).alias("invoice_amount"),
-        (F.coalesce(truncated_int(raw("is_open")), F.lit(0)) == 1).alias("open_now"),
+        *[truncated_int(strip(raw(name))).alias(name) for name in WHOLE_NUMBERS],
+        F.coalesce(number_or_null(strip(raw("invoice_amount"))), F.lit(0.0)).cast(MONEY).alias("invoice_amount"),
+        (F.coalesce(truncated_int(strip(raw("is_open"))), F.lit(0)) == 1).alias("open_now"),
     )
     opened = F.col("open_now")
     overdue = F.when(opened, days_past(F.col("due_date"), F.lit(as_of).cast("date"))).otherwise(F.lit(0))

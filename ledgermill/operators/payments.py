@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import first_match
 from ..functions.dates import iso_date
-from ..functions.numbers import amount_text, clamp, rounded
+from ..functions.numbers import amount_digits, clamp, number_or_null, rounded
 from ..functions.text import (
     company_name,
     company_number,
     known_or_null,
     mentions_any,
+    strip,
     terms_changed_flag,
     yes_no_text,
 )
+from .common import settle
 
 # Source header -> column name.
 COLUMN_NAMES = {
@@ -190,15 +192,19 @@ def normalize_columns(raw: DataFrame) -> DataFrame:
 
 def clean_reports(reports: DataFrame) -> DataFrame:
     """Typed dates, numbers and flags, standard identities and terms-change features."""
-    texts = [n for n, t in reports.dtypes if t == "string"]
-    known = reports.withColumns({name: known_or_null(name) for name in texts})
+    texts = [n for n, t in reports.dtypes if t == "string" and n not in NUMBERS]
+    # Stripping, then recognizing missing words, then typing: each step reads finished columns.
+    stripped = reports.withColumns({n: strip(n) for n in texts})
+    known = stripped.withColumns(
+        {**{n: known_or_null(n) for n in texts}, **{n: amount_digits(n) for n in NUMBERS}}
+    )
     changed = "payment_terms_have_changed"
     typed = known.withColumns(
         {
             "company_name": company_name("company_name"),
             "company_number": company_number("company_number"),
             **{name: iso_date(name) for name in DATES},
-            **{name: amount_text(name) for name in NUMBERS},
+            **{name: number_or_null(name) for name in NUMBERS},
             **{name: yes_no_text(name) for name in YES_NO},
             "payment_terms_changed_flag": terms_changed_flag(changed),
             "payment_terms_changed_covid_related": mentions_any(changed, COVID_WORDS),
@@ -339,12 +345,14 @@ def flag_issues(df: DataFrame) -> DataFrame:
     """Add is_rejected, quality_flags (issue names joined by ';') and has_quality_flags."""
     masks = issue_masks(df)
     no_days = F.col("avg_days_to_pay").isNull() if "avg_days_to_pay" in df.columns else F.lit(False)
-    return df.withColumns(
+    flagged = df.withColumns(
         {
             "is_rejected": masks["missing_required_fields"] | no_days,
             "quality_flags": F.concat_ws(";", *[F.when(masks[n], F.lit(n)) for n in ISSUES]),
         }
     ).withColumn("has_quality_flags", F.col("quality_flags") != "")
+    # Filters on the flags must not repeat the parsing below them.
+    return settle(flagged, "is_rejected", "quality_flags", "has_quality_flags")
 
 
 def output_frames(flagged: DataFrame) -> dict[str, DataFrame]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ml import columns, jobs, metrics, scoring, split
+from ..session import shared_folder
 from ..sources import sample_tables as samples
 from .sample_enrichment import model_rows
 
@@ -85,7 +88,10 @@ def score_bands(spark, sf_dir):
 
 
 def train_split(spark, sf_dir):
-    rows = columns.training_rows(model_rows(spark, sf_dir))
+    # Written once: the split looks at the companies several times.
+    path = f"{shared_folder(spark)}/split-{uuid.uuid4().hex}"
+    columns.training_rows(model_rows(spark, sf_dir)).write.parquet(path)
+    rows = spark.read.parquet(path)
     train, test = split.split_by_company(rows, columns.GROUP)
     return split.split_summary(rows, train, test, columns.GROUP, columns.TARGET)
 

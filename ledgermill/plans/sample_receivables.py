@@ -242,14 +242,6 @@ def rpt_actions(spark, sf_dir):
     return reports.collection_action_queue(Inputs(spark, sf_dir).old_actions(), {"priority": " High "})
 
 
-def _dashboard(spark, sf_dir, metric):
-    i = Inputs(spark, sf_dir)
-    views = reports.risk_dashboard(
-        i.scored(), i.identified(), i.old_actions(), {"chart_metric": metric}
-    )
-    return views["chart"]
-
-
 def kpis(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     return dashboard.kpis(i.scored(), i.identified(), i.old_actions())
@@ -350,10 +342,10 @@ QUERIES = {
     "rpt_invoice": rpt_invoice,
     "rpt_actions": rpt_actions,
     "kpis": kpis,
-    "open_by_level": lambda s, d: _dashboard(s, d, None),
-    "dist_level": lambda s, d: _dashboard(s, d, "Customer Risk Distribution"),
-    "aging": lambda s, d: _dashboard(s, d, "Aging Bucket Distribution"),
-    "actions_by_status": lambda s, d: _dashboard(s, d, "Collection Actions by Status"),
-    "overdue_by_month": lambda s, d: _dashboard(s, d, "Open Overdue Exposure by Due Month"),
+    "open_by_level": _with(lambda i: dashboard.open_amount_by_level(i.scored())),
+    "dist_level": _with(lambda i: dashboard.customers_by_level(i.scored())),
+    "aging": _with(lambda i: dashboard.aging(i.assessed())),
+    "actions_by_status": _with(lambda i: dashboard.actions_by_status(i.old_actions())),
+    "overdue_by_month": _with(lambda i: dashboard.overdue_by_month(i.assessed())),
     "top_customers": top_customers,
 }

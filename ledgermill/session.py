@@ -15,14 +15,29 @@ JOB_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long column expressions are built once per plan; skip recording a stack for each call.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
+# Methods beyond this size are never compiled by the JVM and run interpreted. Wide parsing
+# projections exceed it as one whole-stage method, so they are generated per operator instead.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings that can change on a running session."""
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", app: str = "ledgermill", **conf: str) -> SparkSession:
     """A local session for tests and the benchmark; clusters pass their own session in."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     settings = {
         **JOB_CONF,
+        **TUNING,
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",

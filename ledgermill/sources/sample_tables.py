@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import tune
+
 # One row per order with a posting date, payment term, days to payment and open flag. Orders
 # of status O in the last 240 days are unpaid.
 _ORDER_BASE = """
@@ -309,6 +311,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def mapped(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A mapping over the sample tables of one folder."""
+    tune(spark)
     used = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem") if "{" + n + "}" in text}
     text = re.sub(r"\{each ([^}]*)\}", r"explode(array(\1))", text)
     return spark.sql(text.replace('"', "`"), **used)

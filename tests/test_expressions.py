@@ -13,6 +13,10 @@ def values(spark, inputs, make, kind="string"):
     return [r["out"] for r in rows.select("i", make(F.col("v")).alias("out")).orderBy("i").collect()]
 
 
+def known(c):
+    return text.known_or_null(text.strip(c))
+
+
 def test_trim_rules(spark):
     inputs = ["  a ", "", "   ", "\ta ", None]
     assert values(spark, inputs, text.blank_to_null) == ["a", None, None, "\ta ", None]
@@ -21,7 +25,7 @@ def test_trim_rules(spark):
 
 def test_missing_words(spark):
     inputs = [" None ", "NULL", "nan", "N/A", "n/a.", "x", ""]
-    assert values(spark, inputs, text.known_or_null) == [None, None, None, None, "n/a.", "x", None]
+    assert values(spark, inputs, known) == [None, None, None, None, "n/a.", "x", None]
 
 
 def test_company_identity(spark):
@@ -38,10 +42,10 @@ def test_registry_key(spark):
 
 def test_flags(spark):
     inputs = ["TRUE", "y", "No", "0", "By letter", "none"]
-    assert values(spark, inputs, text.yes_no_text) == ["True", "True", "False", "False", "By letter", None]
+    assert values(spark, inputs, lambda c: text.yes_no_text(known(c))) == ["True", "True", "False", "False", "By letter", None]
     inputs = [None, "n/a", "yes", "N", "There was no change.", "Terms not changed", "New terms"]
     expected = ["Unknown", "Unknown", "Yes", "No", "No", "No", "Yes"]
-    assert values(spark, inputs, text.terms_changed_flag) == expected
+    assert values(spark, inputs, lambda c: text.terms_changed_flag(known(c))) == expected
     found = values(spark, ["Covidien deal", "none", None], lambda c: text.mentions_any(c, ("covid",)))
     assert found == [1, 0, 0]
 
