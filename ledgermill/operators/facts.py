@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.conditions import first_match
+from ..functions.dates import iso_date
 from ..functions.numbers import number_or_null, ratio
 from ..functions.text import registry_key
 from .common import settle, unpivot_metrics
@@ -120,8 +121,7 @@ def parse_documents(texts: DataFrame, text: str = "value") -> DataFrame:
 
 def _day_or_first(text: Column) -> Column:
     """A strict date; missing or unreadable texts sort before every real date."""
-    shaped = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text)
-    return F.coalesce(F.try_to_date(shaped, "yyyy-M-d"), F.lit(FIRST_DAY).cast("date"))
+    return F.coalesce(iso_date(text), F.lit(FIRST_DAY).cast("date"))
 
 
 def _filled(text: Column) -> Column:
