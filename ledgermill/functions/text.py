@@ -52,13 +52,14 @@ def known_or_null(c: Column | str) -> Column:
 
 
 def company_name(c: Column | str) -> Column:
-    return F.upper(F.regexp_replace(strip(c), r"(?U)\s+", " "))
+    """Upper case with single spaces. Takes ``strip`` text."""
+    return F.upper(F.regexp_replace(column(c), r"(?U)\s+", " "))
 
 
 def company_number(c: Column | str) -> Column:
-    """Upper case; short all-digit numbers get leading zeros up to 8 places."""
-    text = F.upper(strip(c))
-    return F.when(text.rlike("^[0-9]{1,7}$"), F.lpad(text, 8, "0")).otherwise(text)
+    """Upper case; short all-digit numbers get leading zeros up to 8 places. Takes ``strip`` text."""
+    text = column(c)
+    return F.when(text.rlike("^[0-9]{1,7}$"), F.lpad(text, 8, "0")).otherwise(F.upper(text))
 
 
 def registry_key(c: Column | str) -> Column:

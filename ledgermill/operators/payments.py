@@ -284,12 +284,11 @@ def company_counts(reports: DataFrame) -> DataFrame:
         return reports.withColumns(
             {"company_reporting_count": F.lit(1).cast("bigint"), "period_report_count": F.lit(1).cast("bigint")}
         )
-    company, start, end = PERIOD_KEY
-    by_period = reports.groupBy(*PERIOD_KEY).agg(F.count("*").alias("period_report_count"))
-    by_company = (
-        by_period.filter(F.col(company).isNotNull())
-        .groupBy(company)
-        .agg(F.sum("period_report_count").alias("company_reporting_count"))
+    company = PERIOD_KEY[0]
+    keys = settle(reports.select(*PERIOD_KEY), *PERIOD_KEY)
+    by_period = keys.groupBy(*PERIOD_KEY).agg(F.count("*").alias("period_report_count"))
+    by_company = by_period.groupBy(company).agg(
+        F.sum("period_report_count").alias("company_reporting_count")
     )
     # Only periods filed more than once need to travel back to the rows.
     repeated = by_period.filter(F.col("period_report_count") > 1)

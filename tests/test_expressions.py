@@ -29,7 +29,7 @@ def test_missing_words(spark):
 
 
 def test_company_identity(spark):
-    assert values(spark, ["  Acme \t  plc "], text.company_name) == ["ACME PLC"]
+    assert values(spark, ["  Acme \t  plc "], lambda c: text.company_name(text.strip(c))) == ["ACME PLC"]
     inputs = ["123", "sc1234", "123456789", "00000001", "12a"]
     assert values(spark, inputs, text.company_number) == ["00000123", "SC1234", "123456789", "00000001", "12A"]
 
