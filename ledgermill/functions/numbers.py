@@ -32,7 +32,7 @@ def amount_text(c: Column | str) -> Column:
 def leading_real(c: Column | str) -> Column:
     """SQLite's text-to-REAL cast: the numeric start of the text, 0 when there is none."""
     text = column(c)
-    start = F.nullif(F.regexp_extract(text, NUMBER_START, 1), F.lit(""))
+    start = F.regexp_extract(text, NUMBER_START, 1)
     return F.when(text.isNotNull(), F.coalesce(start.try_cast("double"), F.lit(0.0)))
 
 
