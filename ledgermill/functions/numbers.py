@@ -66,7 +66,3 @@ def clamp(value: Column, low: float, high: float) -> Column:
     """Bound a value; NULL stays NULL (greatest and least alone would skip it)."""
     bounded = F.least(F.greatest(value, F.lit(low)), F.lit(high))
     return F.when(value.isNotNull(), bounded)
-
-
-def or_zero(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0))

@@ -124,8 +124,7 @@ def score_rows(
         F.array(*[_entry(F.lit(f), importance=v) for f, v in drivers]).cast(_DRIVER) if drivers else none
     )
     if hasattr(last, "coefficients"):
-        values = F.transform(vector_to_array("features"), lambda v: v)
-        up, down = linear_drivers(values, feature_names(prepared), last.coefficients.toArray(), top)
+        up, down = linear_drivers(vector_to_array("features"), feature_names(prepared), last.coefficients.toArray(), top)
         predicted = predicted.withColumns({"__up": up.cast(_DRIVER), "__down": down.cast(_DRIVER)})
         local = (F.size("__up") > 0) | (F.size("__down") > 0)
         kind = F.when(local, LOCAL).otherwise(NONE)

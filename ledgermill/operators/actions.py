@@ -153,6 +153,6 @@ def resolve_closed(
     return marked.withColumns(changes).drop("closed_assessment", "closed_invoice")
 
 
-def generation_order(actions: DataFrame) -> DataFrame:
+def generation_order(assessments: DataFrame) -> DataFrame:
     """Assessments in the order actions are generated: riskiest and latest first."""
-    return actions.orderBy(F.desc("risk_score"), F.desc("days_overdue"), F.asc("assessment_id"))
+    return assessments.orderBy(F.desc("risk_score"), F.desc("days_overdue"), F.asc("assessment_id"))
