@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 from .compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name not in entry.LLM_QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 # Queries that fit models run actions of their own and are covered by the model tests.
 FITTED = {"benchmark", "predict_drivers"}
 
