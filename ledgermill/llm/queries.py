@@ -4,14 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licences, mixing
-from .common import table
+from . import decontamination, licences, mixing, token_files
+from .common import table, work_path
+
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary lies; the files are on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "op5-files")
+    token_files.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), path)
+    return token_files.read_token_files(spark, path, with_ids=False)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(licences.scan_licences(table(spark, sf_dir, "documents")))
 
@@ -23,6 +38,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_source_mix": op3_source_mix,
+    "op5_token_files": op5_token_files,
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
 }
