@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licences, mixing, repeats, token_files
+from . import decontamination, licences, mixing, near_copies, repeats, token_files
 from .common import table, work_path
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_source_mix": op3_source_mix,
     "op5_token_files": op5_token_files,
