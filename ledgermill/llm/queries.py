@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licences, mixing, near_copies, repeats, token_files
+from . import decontamination, licences, mixing, near_copies, repeats, token_files, toxicity
 from .common import table, work_path
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(docs, items))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -51,4 +55,5 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
