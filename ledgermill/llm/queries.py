@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licences, mixing, near_copies, repeats, token_files, toxicity
+from . import decontamination, embedding_links, licences, mixing, near_copies, repeats, token_files, toxicity
 from .common import table, work_path
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(licences.scan_licences(table(spark, sf_dir, "documents")))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_source_mix": op3_source_mix,
     "op5_token_files": op5_token_files,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
