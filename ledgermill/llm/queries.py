@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, embedding_links, licences, mixing, near_copies, repeats, token_files, toxicity
+from . import decontamination, embedding_links, licences, mixing, near_copies, repeats, token_files, toxicity, transcripts
 from .common import table, work_path
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +30,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = transcripts.format_conversations(table(spark, sf_dir, "conversations"))
+    return turns.select(
+        "conv_id", "turn", "piece", "role", "n_lines", "n_right",
+        transcripts.rendered(F.col("role"), F.col("text")).alias("rendered"),
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "op5-files")
     token_files.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), path)
@@ -56,6 +65,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_source_mix": op3_source_mix,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_token_files": op5_token_files,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_license_scan": op8_license_scan,
