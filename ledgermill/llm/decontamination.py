@@ -202,3 +202,11 @@ def digest(result: DataFrame) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without any benchmark window, with their columns."""
+    hits = contaminated_words(docs, items, window).select(F.col("doc_id").alias("_doc"), F.col("_text_key").alias("_key"))
+    keyed = docs.withColumn("_text_key", text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key"))
+    return keyed.join(hits, same, "left_anti").select(*docs.columns)

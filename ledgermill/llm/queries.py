@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_links, licences, mixing, near_copies, repeats, token_files, toxicity, transcripts
+from . import decontamination, embedding_links, licences, mixing, near_copies, repeats, token_counts, token_files, toxicity, transcripts
 from .common import table, work_path
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.masked_counts(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links.link_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_token_files": op5_token_files,
+    "op6_token_counts": op6_token_counts,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
