@@ -17,6 +17,17 @@ def literal_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[Seque
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def reject_rows(df: DataFrame, stage: str, key: str, messages: str) -> DataFrame:
+    """Rejected rows in the form of the rejects table but for the run; the row is kept as JSON."""
+    fields = [name for name in df.columns if name != messages]
+    return df.select(
+        F.lit(stage).alias("stage"),
+        F.col(key).cast("string").alias("row_key"),
+        F.to_json(F.struct(*fields)).alias("row_text"),
+        F.col(messages).alias("messages"),
+    )
+
+
 def unpivot_metrics(one_row: DataFrame, names: Sequence[str]) -> DataFrame:
     """A one-row DataFrame of counts as (metric, value) rows."""
     pairs = [

@@ -69,7 +69,7 @@ def normalize_rows(rows: DataFrame, as_of: date | str = DEFAULT_AS_OF) -> DataFr
 
 
 def import_problems(rows: DataFrame) -> DataFrame:
-    """Rows that cannot be imported, with ``problems``: no key, or text where a number belongs."""
+    """All rows with ``problems``: no key, or text where a number belongs; empty if there are none."""
     tests = [
         (strip_to_null("customer_id").isNull(), "Cannot import row without customer_id"),
         (strip_to_null("invoice_id").isNull(), "Cannot import row without invoice_id"),
@@ -78,7 +78,7 @@ def import_problems(rows: DataFrame) -> DataFrame:
         if name in rows.columns:
             text = strip_to_null(name)
             tests.append((text.isNotNull() & number_or_null(text).isNull(), f"Invalid {name}"))
-    return rows.withColumn("problems", messages(tests)).filter(F.size("problems") > 0)
+    return rows.withColumn("problems", messages(tests))
 
 
 def last_row_per_key(rows: DataFrame, key: str, order: str = "row_number") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import constraints, customers, importing, validation
+from ..operators.common import reject_rows, settle
 from ..schemas import CUSTOMERS, IMPORT_JOBS
 from ..sources import csv_files
 from ..sources.tables import TableStore
@@ -25,14 +26,18 @@ def import_rows(store: TableStore, rows: DataFrame, as_of: str, run_at: Column,
 
     Rows that cannot be stored go to the rejects table instead of ending the import.
     """
-    bad = importing.import_problems(rows).select("row_number", F.col("problems").alias("violations"))
-    typed = importing.normalize_rows(
-        rows.join(bad.select("row_number"), "row_number", "left_anti"), as_of
-    )
+    checked = settle(importing.import_problems(rows), "problems")
+    bad = checked.filter(F.size("problems") > 0)
+    typed = importing.normalize_rows(checked.filter(F.size("problems") == 0).drop("problems"), as_of)
     good, broken = constraints.split_valid(typed, constraints.invoice_rules())
     staged = store.stage(good, "rows", run)
-    rejects = bad.unionByName(broken.select("row_number", "violations"))
-    store.append("rejects", rejects, f"{run}-import")
+    rejects = store.append(
+        "rejects",
+        reject_rows(bad, "import", "row_number", "problems").unionByName(
+            reject_rows(broken, "import", "row_number", "violations")
+        ),
+        f"{run}-import",
+    )
 
     people, invoices = store.read("customers"), store.read("invoices")
     made_people = importing.merge_counts(staged, people, "customer_id").first()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import actions, assessments, audit, constraints, customers, importing, scoring
+from ..operators.common import reject_rows
 from ..schemas import ACTIONS, CUSTOMERS
 from ..sources.tables import TableStore
 
@@ -22,7 +23,8 @@ STEPS = (
     ("invoice_risk_assessment", "Invoice risk assessment"),
     ("collection_action_generation", "Collection action generation"),
 )
-ERROR_COUNTS = ("customers_failed", "failed", "invoices_failed", "actions_failed")
+
+NO_CUSTOMER = "Customer of the invoice is not stored"
 
 
 def run_clock(run_at: datetime | None) -> tuple[Column, str]:
@@ -49,8 +51,6 @@ def aggregate_step(store: TableStore, run_at: Column, limit: int | None = None)
         "customers_seen": created + updated,
         "customers_created": created,
         "customers_updated": updated,
-        "customers_failed": 0,
-        "customers_skipped": 0,
     }
 
 
@@ -63,7 +63,7 @@ def scoring_step(store: TableStore, settings: Mapping | None, run_at: Column, ru
     stored = store.replace("customers", scored)
     store.append("audit", audit.customer_audit(stored, run_at), f"{run}-customers")
     count = stored.count()
-    return {"customers_processed": count, "customers_updated": count, "errors": 0}
+    return {"customers_processed": count, "customers_updated": count}
 
 
 def assessment_step(
@@ -81,8 +81,11 @@ def assessment_step(
     store.append(
         "audit", audit.assessment_audit(stored.filter(F.col("change") != "kept"), run_at), f"{run}-assessments"
     )
-    store.append("rejects", rejected.select("invoice_id", "violations"), f"{run}-assessments")
-    lost = assessments.invoices_without_customer(invoices, people).count() + rejected.count()
+    alone = assessments.invoices_without_customer(invoices, people).withColumn("problems", F.array(F.lit(NO_CUSTOMER)))
+    rejects = reject_rows(alone, "assessment", "invoice_id", "problems").unionByName(
+        reject_rows(rejected, "assessment", "invoice_id", "violations")
+    )
+    lost = store.append("rejects", rejects, f"{run}-assessments").count()
     counted = _changes(stored)
     created, updated = counted.get("created", 0), counted.get("updated", 0)
     return {
@@ -90,11 +93,9 @@ def assessment_step(
         "open_invoices_processed": created + updated + lost,
         "assessments_created": created,
         "assessments_updated": updated,
-        "skipped": 0,
         "closed_assessment_cleanup": {
             "closed_assessments_found": counted.get("closed", 0),
             "closed_assessments_updated": counted.get("closed", 0),
-            "errors": 0,
         },
         "errors": lost,
     }
@@ -117,31 +118,13 @@ def action_step(store: TableStore, on: date, run_at: Column) -> dict:
         "closed_invoice_actions_resolved": {
             "actions_found": counted.get("resolved", 0),
             "actions_resolved": counted.get("resolved", 0),
-            "errors": 0,
         },
         "assessments_processed": wanted,
         "actions_created": created,
-        "actions_skipped": wanted - created,
         "actions_skipped_existing": wanted - created,
-        "actions_skipped_no_action_required": 0,
-        "errors": 0,
     }
 
 
-def has_row_errors(result) -> bool:
-    """Whether a step result, or a result inside it, counts failed rows."""
-    if not isinstance(result, Mapping):
-        return False
-    if any(int(result.get(name) or 0) > 0 for name in ERROR_COUNTS):
-        return True
-    errors = result.get("errors")
-    if isinstance(errors, (int, float)) and errors > 0:
-        return True
-    if isinstance(errors, str) and errors.strip() or isinstance(errors, (list, tuple, dict, set)) and errors:
-        return True
-    return any(has_row_errors(value) for value in result.values())
-
-
 def recalculate(
     store: TableStore,
     settings: Mapping | None = None,
@@ -167,7 +150,7 @@ def recalculate(
             result = work[key]()
         except Exception as error:  # noqa: BLE001 - the summary reports the failed step
             return {**summary, "status": "failed", "failed_step": key, "error": str(error)}
-        failed_rows = has_row_errors(result)
+        failed_rows = result.get("errors", 0) > 0  # the rows a step rejected
         summary[key] = {"step": key, "label": label, "result": result, "has_errors": failed_rows}
         summary["has_errors"] = summary["has_errors"] or failed_rows
     summary["status"] = "completed_with_errors" if summary["has_errors"] else "success"

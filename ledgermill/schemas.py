@@ -79,6 +79,7 @@ _TYPES = {
     "timestamp": T.TimestampType(),
     "money": MONEY,
     "money_total": MONEY_TOTAL,
+    "texts": T.ArrayType(T.StringType()),
 }
 
 
@@ -138,6 +139,11 @@ IMPORT_JOBS = _table("""
     started_on timestamp, completed_on timestamp
 """)
 
+# Rows that a job could not use: what they are, as read, and why.
+REJECTS = _table("""
+    run string, stage string, row_key string, row_text string, messages texts
+""")
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project to a table's columns and types; columns the input lacks become NULL."""

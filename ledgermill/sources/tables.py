@@ -20,6 +20,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "actions": schemas.ACTIONS,
     "audit": schemas.AUDIT,
     "import_jobs": schemas.IMPORT_JOBS,
+    "rejects": schemas.REJECTS,
 }
 
 
@@ -65,9 +66,11 @@ class TableStore:
         df.write.mode("overwrite").parquet(where)
         return self.spark.read.parquet(where)
 
-    def append(self, name: str, df: DataFrame, run: str) -> None:
-        """Add one run's rows; repeating the run replaces them."""
-        df.write.mode("overwrite").parquet(f"{self.path(name)}/run={run}")
+    def append(self, name: str, df: DataFrame, run: str) -> DataFrame:
+        """Add one run's rows and return them as stored; repeating the run replaces them."""
+        where = f"{self.path(name)}/run={run}"
+        df.write.mode("overwrite").parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
 
     def read_appended(self, name: str) -> DataFrame:
         if not any(c.startswith("run=") for c in files.child_names(self.spark, self.path(name))):

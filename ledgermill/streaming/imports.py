@@ -31,7 +31,9 @@ def stream_imports(
     )
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        run = f"stream-{batch_id}"
+        # The query's id tells streams apart, and one that starts anew from its own earlier runs.
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        run = f"stream-{query}-{batch_id}"
         numbered = batch.withColumn("row_number", F.monotonically_increasing_id())
         staged = store.stage(numbered, "read", run)
         moment = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")

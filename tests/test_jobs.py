@@ -47,8 +47,7 @@ def test_whole_flow(spark, tmp_path):
     recalculated = result["recalculation"]
     assert recalculated["status"] == "success"
     steps = {k: recalculated[k]["result"] for k, _ in recalculation.STEPS}
-    assert steps["customer_aggregation"] == {"customers_seen": 3, "customers_created": 0, "customers_updated": 3,
-                                             "customers_failed": 0, "customers_skipped": 0}
+    assert steps["customer_aggregation"] == {"customers_seen": 3, "customers_created": 0, "customers_updated": 3}
     assert steps["invoice_risk_assessment"]["assessments_created"] == 12
     assert steps["invoice_risk_assessment"]["analysis_date"] == "2020-05-22"
 
@@ -130,7 +129,10 @@ def test_bad_rows_are_kept_aside(spark, tmp_path):
     lines = [unpaid("C1", 1, -5, "2020-03-15"), paid("C1", 1).replace(",20,1\n", ",soon,1\n"), paid("C1", 2)]
     stats = import_job.import_dataset(store, upload(tmp_path, "x.csv", *lines), run_at=at(1))
     assert (stats["rows_seen"], stats["rows_rejected"]) == (1, 2)
-    kept = spark.read.parquet(store.path("rejects")).select(F.explode("violations")).collect()
+    rejects = store.read_appended("rejects")
+    kept = rejects.select(F.explode("messages")).collect()
+    assert {r["stage"] for r in rejects.collect()} == {"import"}
+    assert any('"invoice_amount":"-5"' in r["row_text"] or '"invoice_amount":-5' in r["row_text"] for r in rejects.collect())
     assert sorted(r[0] for r in kept) == ["Invalid payment_delay_days", "Invoice Amount cannot be negative."]
 
 
@@ -140,10 +142,16 @@ def test_failed_step_is_named(spark, tmp_path):
     assert (summary["status"], summary["failed_step"]) == ("failed", "invoice_risk_assessment")
 
 
-def test_row_error_detection():
-    assert not recalculation.has_row_errors({"errors": 0, "inner": {"errors": []}})
-    assert recalculation.has_row_errors({"inner": {"deeper": {"customers_failed": 1}}})
-    assert recalculation.has_row_errors({"errors": "oops"})
+def test_an_invoice_without_customer_is_kept_aside(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    import_job.import_dataset(store, upload(tmp_path, "x.csv", unpaid("C1", 1, 5, "2020-03-15")), run_at=at(1))
+    people = store.read("customers")
+    lost = store.read("invoices").withColumn("customer_id", F.lit("C9")).withColumn("invoice_id", F.lit("LOST"))
+    store.replace("invoices", store.read("invoices").unionByName(lost))
+    step = recalculation.assessment_step(store, None, date(2020, 6, 1), F.current_timestamp(), "r1")
+    assert step["errors"] == 1 and people.count() == 1
+    row = store.read_appended("rejects").filter("stage = 'assessment'").first()
+    assert (row["row_key"], row["messages"]) == ("LOST", [recalculation.NO_CUSTOMER])
 
 
 def test_streamed_files(spark, tmp_path):
@@ -164,3 +172,8 @@ def test_streamed_files(spark, tmp_path):
     drop("b.csv", invoice_id="1", invoice_amount=9, **base)
     rows = store.read("invoices").collect()
     assert [(r["invoice_id"], float(r["invoice_amount"])) for r in rows] == [("1", 9.0)]
+    runs = {r["run"] for r in store.read_appended("rejects").collect()}
+    drop("c.csv", invoice_id="2", invoice_amount="x", **base)
+    stream_imports(store, str(inbox), str(tmp_path / "fresh")).awaitTermination()
+    again = {r["run"] for r in store.read_appended("rejects").collect()}
+    assert not runs and len(again) == 2  # the fresh stream did not replace the first one's reject
