@@ -13,9 +13,10 @@ Signatures are cut into bands. Documents that share a band are candidates:
 1. identical bags are one class, known by a hash of the whole bag;
 2. in each bucket every class is compared with the bucket's smallest, which ties large groups
    of near copies together with one comparison each;
-3. then all pairs of a bucket that still lie in different components are compared by
-   signature, in square blocks of bounded size, and only pairs that may reach the threshold
-   leave the block. So no link is lost, and groups of copies don't become all their pairs.
+3. then the members of a bucket that still lie in different components are compared by
+   signature, in square blocks of bounded size. Pairs that may reach the threshold are verified
+   in the block, and only one link per member and component leaves it. So no component stays
+   apart that a link would join, and groups of copies don't become all their pairs.
 
 Candidates are verified by the exact overlap of the bags. Components of the verified links
 give the groups.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import stage
 from .graphs import components
 from .lookups import by_ids
-from .word_hashes import mix, run_hashes, sliced, spaced_words, window_places, word_hashes
+from .word_hashes import mix, run_hashes, sliced, window_places
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -48,13 +49,11 @@ BLOCK = 512  # classes on one side of a compared block
 
 # ---- bags and signatures -------------------------------------------------------------------------
 
-def shingle_bags(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of several texts: text number, run hash and count of each distinct run, by text and hash.
+def shingle_bags(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts' words: text number, run hash and count of each distinct run, in order.
 
     A text shorter than a shingle is one run of its own length; a text without words has none.
     """
-    sizes = np.array([len(w) for w in words])
-    hashes = word_hashes([x for w in words for x in w])
     places, owner = window_places(sizes, SHINGLE)
     runs = run_hashes(hashes, SHINGLE)[places] if len(places) else np.zeros(0, np.uint64)
     begins = np.cumsum(sizes) - sizes
@@ -62,7 +61,7 @@ def shingle_bags(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.nda
         short = np.flatnonzero(sizes == length)
         if len(short):
             own = run_hashes(hashes, length)[begins[short]]
-            runs, owner = np.concatenate([runs, mix(own + np.uint64(length))]), np.concatenate([owner, short])
+            runs, owner = np.concatenate([runs, own]), np.concatenate([owner, short])
     order = np.lexsort((runs, owner))
     runs, owner = runs[order], owner[order]
     new = np.append(True, (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])) if len(runs) else np.zeros(0, bool)
@@ -90,7 +89,7 @@ def bag_signatures(owner: np.ndarray, runs: np.ndarray, counts: np.ndarray, n: i
         time, step = np.zeros(len(who)), 0
         while len(who):
             step += 1
-            draw = mix(seed + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+            draw = mix(seed + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             # In (0, 1], so that the logarithm is finite.
             time = time - np.log(((draw >> np.uint64(11)) + np.uint64(1)) * 2.0**-53) / (1 << octave)
             live = time < limit[who]
@@ -117,8 +116,8 @@ def document_signatures(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for begin, words in sliced(x.as_py() for x in batch.column(1)):
-                owner, runs, counts = shingle_bags(words)
+            for begin, sizes, hashes in sliced(batch.column(1)):
+                owner, runs, counts = shingle_bags(sizes, hashes)
                 if not len(runs):
                     continue
                 used, starts = np.unique(owner, return_index=True)
@@ -162,15 +161,27 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long").distinct()
 
 
-def bag_similarity(a: str, b: str) -> float:
-    """Weighted Jaccard similarity of two texts' bags; 0 when either has no words."""
-    owner, runs, counts = shingle_bags([spaced_words(a), spaced_words(b)])
-    cut = int(np.searchsorted(owner, 1))
-    if cut in (0, len(owner)):
-        return 0.0
-    _, x, y = np.intersect1d(runs[:cut], runs[cut:], assume_unique=True, return_indices=True)
-    both = np.minimum(counts[:cut][x], counts[cut:][y]).sum()
-    return float(both / (counts.sum() - both))
+def bag_similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Weighted Jaccard similarity of each pair of texts' bags; 0 when either has no words."""
+    sides = []
+    for texts in (a, b):
+        parts = [(first, shingle_bags(sizes, hashes)) for first, sizes, hashes in sliced(texts)]
+        sides.append([np.concatenate([part[0] + first if k == 0 else part[k] for first, part in parts]) for k in range(3)])
+    out = np.zeros(len(a))
+    cuts = [np.searchsorted(owner, np.arange(len(a) + 1)) for owner, _, _ in sides]
+    for k in range(len(a)):
+        (_, x, n), (_, y, m) = ([v[c[k] : c[k + 1]] for v in side] for side, c in zip(sides, cuts, strict=True))
+        if len(x) and len(y):
+            _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            both = np.minimum(n[i], m[j]).sum()
+            out[k] = both / (n.sum() + m.sum() - both)
+    return out
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts of some documents: id, text."""
+    texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids)
+    return stage(texts.filter("text is not null"), "op1-texts")
 
 
 def verified_pairs(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -178,73 +189,91 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILA
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = pa.array([bag_similarity(x.as_py(), y.as_py()) >= similarity
-                             for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            if not batch.num_rows:
+                continue
+            good = pa.array(bag_similarities(batch.column(2), batch.column(3)) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "op1-wanted")
-    texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), wanted)
-    texts = stage(texts.filter("text is not null"), "op1-texts")
+    texts = _texts_of(stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "op1-wanted"), docs)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(check, "a long, b long").distinct()
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Likely pairs of different components inside buckets: a, b.
+def _block_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Verified links between different components inside buckets: a, b.
 
-    ``members``: bucket, id, component, signature, block (of its bucket), blocks. Every pair of
-    blocks of a bucket is one unit of work, so a bucket of any size is spread over tasks.
+    ``members``: bucket, id, component, signature, block (of its bucket), blocks, text. Every
+    pair of blocks of a bucket is one unit of work, so a bucket of any size is spread over
+    tasks. A member gets one link to each other component that it reaches, not all of them.
     """
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = members.select("bucket", "id", "component", "signature", "block", other.alias("other")).select(
+    units = members.withColumn("other", other).select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "id", "component", "signature", "block",
+        "id", "component", "signature", "block", "text",
     )
 
-    def compare(ids: list[int], comps: list[int], signs: list[bytes], blocks: list[int], i: int, j: int):
-        number = np.array(ids)
-        comp, block = np.array(comps), np.array(blocks)
-        sign = np.frombuffer(b"".join(signs), np.uint8).reshape(-1, SIZE)
-        left, right = (block == i), (block == j)
-        # Members of the largest component need only be met by the others.
-        values, counts = np.unique(comp, return_counts=True)
-        if len(values) < 2:
-            return
-        largest = comp == values[counts.argmax()]
-        seen = set()
-        for x in np.flatnonzero(~largest):
-            facing = np.flatnonzero((right if left[x] else left) & (comp != comp[x]))
-            if i == j:
-                facing = np.flatnonzero(comp != comp[x])
-            near = facing[(sign[facing] == sign[x]).mean(axis=1) >= WORTH] if len(facing) else facing
-            for y in near:
-                pair = (min(number[x], number[y]), max(number[x], number[y]))
-                if pair not in seen:
-                    seen.add(pair)
-                    yield pair
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [], [])
+        key, held = None, ([], [], [], [], [])
 
-        def flush():
-            found = list(compare(*held, key[1], key[2])) if key and len(held[0]) > 1 else []
+        def flush() -> pa.RecordBatch:
+            found = list(_links_of_unit(*held, key[1], key[2], similarity)) if key and len(set(held[1])) > 1 else []
             return pa.RecordBatch.from_arrays(
-                [pa.array([int(a) for a, _ in found], pa.int64()), pa.array([int(b) for _, b in found], pa.int64())], names=["a", "b"])
+                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for bucket, i, j, *member in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (bucket, i, j) != key:
-                    yield flush()
-                    key, held = (bucket, i, j), ([], [], [], [])
+                    if held[0]:
+                        yield flush()
+                    key, held = (bucket, i, j), ([], [], [], [], [])
                 for values, value in zip(held, member, strict=True):
                     values.append(value)
         yield flush()
 
-    return (
-        units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
-    )
+    ordered = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links_of_unit(
+    ids: list[int], comps: list[int], signs: list[bytes], blocks: list[int], texts: list[str], i: int, j: int, similarity: float
+) -> Iterator[tuple[int, int]]:
+    comp, block = np.array(comps), np.array(blocks)
+    sign = np.frombuffer(b"".join(signs), np.uint8).reshape(-1, SIZE)
+    # Members of the largest component need only be met by the others.
+    values, counts = np.unique(comp, return_counts=True)
+    near = {}
+    for x in np.flatnonzero(comp != values[counts.argmax()]):
+        facing = comp != comp[x] if i == j else (comp != comp[x]) & (block != block[x])
+        facing = np.flatnonzero(facing)
+        close = facing[(sign[facing] == sign[x]).mean(axis=1) >= WORTH]
+        if len(close):
+            near[int(x)] = close
+    if not near:
+        return
+    # Exact overlaps, of one member with all it may link to, by an index from runs to members.
+    used = np.unique(np.concatenate([list(near), *near.values()]))
+    parts = [(first, shingle_bags(sizes, hashes)) for first, sizes, hashes in sliced(pa.array([texts[k] for k in used]))]
+    owner = np.concatenate([part[0] + first for first, part in parts])
+    runs, n = (np.concatenate([part[k] for _, part in parts]) for k in (1, 2))
+    weight = np.bincount(owner, weights=n, minlength=len(used))
+    begins = np.searchsorted(owner, np.arange(len(used) + 1))
+    order = np.argsort(runs, kind="stable")
+    by_run, by_owner, by_n = runs[order], owner[order], n[order]
+    place = np.full(len(ids), -1)
+    place[used] = np.arange(len(used))
+    for x, close in near.items():
+        own = slice(begins[place[x]], begins[place[x] + 1])
+        low, high = np.searchsorted(by_run, runs[own]), np.searchsorted(by_run, runs[own], side="right")
+        spread = high - low
+        at = np.repeat(low - (np.cumsum(spread) - spread), spread) + np.arange(spread.sum())
+        overlap = np.bincount(by_owner[at], weights=np.minimum(by_n[at], np.repeat(n[own], spread)), minlength=len(used))
+        facing = place[close]
+        both = overlap[facing]
+        linked = close[both >= similarity * (weight[place[x]] + weight[facing] - both)]
+        for y in linked[np.unique(comp[linked], return_index=True)[1]]:
+            yield min(ids[x], ids[y]), max(ids[x], ids[y])
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -282,11 +311,15 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     )
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = placed.join(mixed, "bucket").join(signatures.select("id", "signature"), "id").select(
-        "bucket", "id", "component", "signature",
-        F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), blocks.alias("blocks"),
+    split = stage(
+        placed.join(mixed, "bucket").select(
+            "bucket", "id", "component", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), blocks.alias("blocks")
+        ),
+        "op1-split",
     )
-    rest = verified_pairs(stage(_block_pairs(members), "op1-rest"), docs, similarity)
+    texts = _texts_of(stage(split.select("id").distinct(), "op1-wanted"), docs)
+    members = split.join(signatures.select("id", "signature"), "id").join(texts, "id")
+    rest = _block_links(members, similarity)
     groups = stage(components(stage(star_links.unionByName(rest), "op1-all")), "op1-groups")
 
     found = member.groupBy("id").agg(F.min("bag_id").alias("bag_id")).join(

@@ -20,6 +20,7 @@ Everything between the steps is a written table in the shared folder.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import spaced_word_count, stage
-from .word_hashes import run_hashes, sliced, spaced_words, window_places, word_hashes
+from .word_hashes import run_hashes, sliced, spaced_words, window_places
 
 WINDOW = 20
 ANCHOR = 6  # words of the runs among which a window's anchor is chosen
@@ -62,17 +63,15 @@ def _least_places(hashes: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
-def _anchors(words: list[list[str]], window: int) -> tuple[np.ndarray, ...]:
+def _anchors(sizes: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Of texts hashed together: each window's place, text, anchor hash and anchor place."""
-    sizes = np.array([len(w) for w in words])
-    hashes = word_hashes([x for w in words for x in w])
     places, owner = window_places(sizes, window)
+    if not len(places):
+        return places, owner, np.zeros(0, np.uint64), places
     size = min(ANCHOR, window)
     runs = run_hashes(hashes, size)
-    if not len(places):
-        return places, owner, np.zeros(0, np.uint64), places, hashes
     best = _least_places(runs, window - size + 1)[places]
-    return places, owner, runs[best], best, hashes
+    return places, owner, runs[best], best
 
 
 def document_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -81,8 +80,8 @@ def document_anchors(docs: DataFrame, window: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, words in sliced(x.as_py() for x in batch.column(1)):
-                _, owner, anchor, best, _ = _anchors(words, window)
+            for first, sizes, hashes in sliced(batch.column(1)):
+                _, owner, anchor, best = _anchors(sizes, hashes, window)
                 if len(best):
                     new = np.append(True, (best[1:] != best[:-1]) | (owner[1:] != owner[:-1]))
                     yield pa.RecordBatch.from_arrays(
@@ -99,17 +98,17 @@ def candidate_windows(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             kept = batch.column(3)
-            for first, words in sliced(x.as_py() for x in batch.column(2)):
-                places, owner, anchor, _, hashes = _anchors(words, window)
+            for first, sizes, hashes in sliced(batch.column(2)):
+                places, owner, anchor, _ = _anchors(sizes, hashes, window)
                 if not len(places):
                     continue
                 wanted = np.zeros(len(places), bool)
-                edges = np.searchsorted(owner, np.arange(len(words) + 1))
-                for k in range(len(words)):
+                edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
+                for k in range(len(sizes)):
                     a, b = edges[k], edges[k + 1]
                     if b > a:
                         wanted[a:b] = np.isin(anchor[a:b].view(np.int64), kept[first + k].values.to_numpy())
-                begins = np.cumsum([0] + [len(w) for w in words])
+                begins = np.cumsum(sizes) - sizes
                 where, who = places[wanted], owner[wanted]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(run_hashes(hashes, window)[where].view(np.int64)), pa.array(ids[first + who]),
@@ -121,29 +120,17 @@ def candidate_windows(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("_id", "_row", "text", "_anchors").mapInArrow(find, schema)
 
 
-def _joined_spans(marks: DataFrame, window: int) -> DataFrame:
-    """Window starts of one document and shard, joined to maximal spans: _row, shard, spans.
+def _starts(marks: DataFrame) -> DataFrame:
+    """Window starts of one document and shard: _row, shard, starts. A document's words bound them."""
+    return marks.groupBy("_row", "shard").agg(F.collect_set("start").alias("starts"))
 
-    ``spans`` is an array of (start, end) in words; a document's windows bound it.
-    """
 
-    def join(starts: Column) -> Column:
-        ordered = F.sort_array(starts)
-        # A window begins a span if the one before it doesn't reach it.
-        index = F.sequence(F.lit(0), F.size(ordered) - 1)
-        opens = F.filter(index, lambda i: (i == 0) | (F.get(ordered, i) > F.get(ordered, i - 1) + 1))
-        last = F.size(ordered) - 1
-        return F.transform(
-            opens,
-            lambda i, k: F.struct(
-                F.get(ordered, i).alias("start"),
-                (F.get(ordered, F.coalesce(F.get(opens, k + 1) - 1, last)) + window).alias("end"),
-            ),
-        )
-
-    return marks.groupBy("_row", "shard").agg(F.collect_set("start").alias("starts")).select(
-        "_row", "shard", join(F.col("starts")).alias("spans")
-    )
+def joined_spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Windows that touch or overlap, joined: (start, end) in words."""
+    starts = np.sort(starts)
+    cuts = np.flatnonzero(np.diff(starts) > 1)
+    begins, ends = starts[np.append(0, cuts + 1)], starts[np.append(cuts, len(starts) - 1)] + window
+    return list(zip(begins.tolist(), ends.tolist(), strict=True))
 
 
 # ---- the automaton -------------------------------------------------------------------------------
@@ -233,7 +220,7 @@ def _stream_shard(reference: pa.Table, spans: pa.Table, window: int) -> pa.Table
     for doc, row, begin, text in zip(*[spans.column(n).to_pylist() for n in ("_id", "_row", "start", "words")], strict=True):
         open_start = open_end = None
         for end, first_end in automaton.matches(text.split(" "), window):
-            passage = int(np.searchsorted(begins, first_end, side="right")) - 1
+            passage = bisect_right(begins, first_end) - 1
             where = order[passage]
             start = begin + end - window + 1
             earlier = (where[0], where[1], where[2] + first_end - window + 1 - begins[passage])
@@ -252,23 +239,22 @@ def _stream_shard(reference: pa.Table, spans: pa.Table, window: int) -> pa.Table
     return pa.table(out, schema=pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _span_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The words of each span: shard, _id, _row, start, words (joined by a space), n."""
+def _span_words(docs: DataFrame, starts: DataFrame, window: int) -> DataFrame:
+    """The words of each maximal span: shard, _id, _row, start, words (joined by a space), n."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {"shard": [], "_id": [], "_row": [], "start": [], "words": [], "n": []}
-            for doc, row, text, shard, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for k, (doc, row, text, shard) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:4]], strict=True)):
                 words = spaced_words(text)
-                for span in found:
-                    a, b = span["start"], span["end"]
+                for a, b in joined_spans(batch.column(4)[k].values.to_numpy(), window):
                     for name, value in zip(out, (shard, doc, row, a, " ".join(words[a:b]), b - a), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
                 ("shard", pa.int64()), ("_id", pa.int64()), ("_row", pa.int64()), ("start", pa.int32()),
                 ("words", pa.string()), ("n", pa.int64())]))
 
-    joined = docs.join(spans, "_row").select("_id", "_row", "text", "shard", "spans")
+    joined = docs.join(starts, "_row").select("_id", "_row", "text", "shard", "starts")
     return joined.mapInArrow(cut, "shard long, _id long, _row long, start int, words string, n long")
 
 
@@ -308,14 +294,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     reference_words = both.filter("is_first").count()
     shards = max(1, -(-reference_words // SHARD_WORDS))
     both = both.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)))
-    reference = stage(_span_words(texts, _joined_spans(both.filter("is_first"), window)), "op2-reference")
-    spans = stage(_span_words(texts, _joined_spans(both.filter(~F.col("is_first")), window)), "op2-spans")
+    reference = stage(_span_words(texts, _starts(both.filter("is_first")), window), "op2-reference")
+    spans = stage(_span_words(texts, _starts(both.filter(~F.col("is_first"))), window), "op2-spans")
 
     # A shard that many spans visit is given to several tasks.
     tasks = stage(spans.groupBy("shard").agg(F.ceil(F.sum("n") / SPAN_WORDS).cast("int").alias("tasks")), "op2-tasks")
+    # One partition per unit of work: the work is the automaton's, not the few bytes shuffled.
+    units = max(1, tasks.agg(F.sum("tasks")).first()[0] or 0)
     sent = spans.select("shard", "_id", "_row", "start", "words").join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("_row", "start"), F.col("tasks")).cast("int")).drop("tasks")
     held = reference.select("shard", "_id", "_row", "start", "words").join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     keys = ["shard", "task"]
+    sent, held = sent.repartition(units, *keys), held.repartition(units, *keys)
     removed = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(
         lambda left, right: _stream_shard(right, left, window), "_id long, _row long, start int, end int"
     )
