@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -48,6 +48,20 @@ def check_features(features: Sequence[str] = FEATURES) -> None:
         raise ValueError(f"Feature list contains leakage columns: {', '.join(leaking)}")
 
 
+def typed_features(df: DataFrame) -> list[Column]:
+    """Every feature with its type: numbers from any readable text, a missing one as NULL."""
+    have = set(df.columns)
+
+    def typed(name: str) -> Column:
+        if name not in have:
+            return F.lit(None).cast("double" if name in NUMERIC_FEATURES else "string").alias(name)
+        if name in NUMERIC_FEATURES:
+            return F.col(name).try_cast("double").alias(name)
+        return F.col(name).cast("string").alias(name)
+
+    return [typed(name) for name in FEATURES]
+
+
 def training_rows(df: DataFrame) -> DataFrame:
     """Group, integer target and typed features of the rows that have a group and a target."""
     check_features()
@@ -57,6 +71,5 @@ def training_rows(df: DataFrame) -> DataFrame:
     return df.select(
         F.col(GROUP).cast("string").alias(GROUP),
         F.col(TARGET).try_cast("double").cast("int").alias(TARGET),
-        *[F.col(c).try_cast("double").alias(c) for c in NUMERIC_FEATURES],
-        *[F.col(c).cast("string").alias(c) for c in CATEGORICAL_FEATURES],
+        *typed_features(df),
     ).na.drop(subset=[GROUP, TARGET])

@@ -16,7 +16,7 @@ from ..sources import files
 from . import metrics
 from .columns import FEATURES, GROUP, LEAKAGE_COLUMNS, TARGET, training_rows
 from .models import WEIGHT, ModelSpec, balanced_weight, class_counts, model_registry, preprocessor, scored_rows
-from .scoring import DEFAULT_THRESHOLD, importance_rows
+from .scoring import DEFAULT_THRESHOLD, importance_rows, score_rows
 from .split import split_by_company, split_summary
 
 RESULT_SCHEMA = """
@@ -43,14 +43,15 @@ class Prepared:
     work: str
 
 
-def prepare(df: DataFrame, test_share: float = 0.2, seed: int = 42) -> Prepared:
+def prepare(df: DataFrame, test_share: float = 0.2, seed: int = 42, work: str | None = None) -> Prepared:
     """Split by company, fit the preprocessing on train and write both feature tables.
 
-    The tables in the shared folder end the lineage: every model reads finished features, and
-    a lost executor costs a re-read instead of the whole preparation.
+    The tables in the work folder end the lineage: every model reads finished features, and
+    a lost executor costs a re-read instead of the whole preparation. Jobs give a folder below
+    their output and clear it when done.
     """
     spark = df.sparkSession
-    work = f"{shared_folder(spark)}/training-{uuid.uuid4().hex}"
+    work = work or f"{shared_folder(spark)}/training-{uuid.uuid4().hex}"
     training_rows(df).write.mode("overwrite").parquet(f"{work}/rows")
     rows = spark.read.parquet(f"{work}/rows")
     train, test = split_by_company(rows, GROUP, test_share, seed)
@@ -148,7 +149,9 @@ def benchmark_models(
 
 
 def save_model(model: PipelineModel | None, stages: PipelineModel, path: str) -> str:
-    """Preprocessing and model as one saved pipeline."""
+    """Preprocessing and model as one saved pipeline. A constant model has nothing to save."""
+    if model is None:
+        raise ValueError("A constant model cannot be saved for scoring.")
     parts = [*stages.stages, *(model.stages if model else [])]
     PipelineModel(parts).write().overwrite().save(path)
     return path
@@ -187,7 +190,7 @@ def run_training(
 ) -> dict:
     """Train the baselines, tune the best one's threshold and save model and reports."""
     spark = df.sparkSession
-    data = prepare(df, test_share, seed)
+    data = prepare(df, test_share, seed, f"{output_dir}/_work")
     known = registry or model_registry()
     results, fitted = {}, {}
     for name in model_names:
@@ -231,9 +234,27 @@ def run_training(
         "threshold_config_path": files.write_json(spark, chosen, f"{output_dir}/threshold_config"),
         "calibration_metrics_path": files.write_json(spark, calibration, f"{output_dir}/calibration_metrics"),
     }
+    files.delete(spark, data.work)
     return {**summary, "artifact_paths": paths}
 
 
+def run_scoring(
+    rows: DataFrame, model_path: str, output_path: str, threshold_path: str | None = None,
+    legacy_threshold_path: str | None = None, keep: Sequence[str] = (GROUP,),
+) -> DataFrame:
+    """Load a saved model and its threshold, score all rows, write and return the result.
+
+    Rows may come from Parquet or all-text CSV and may lack features, which count as missing.
+    """
+    spark = rows.sparkSession
+    prepared, model = load_model(model_path)
+    threshold = load_threshold_config(spark, threshold_path or "", legacy_threshold_path)
+    kept = [name for name in keep if name in rows.columns]
+    scored = score_rows(rows, prepared, model, threshold, model_path=model_path, keep=kept)
+    scored.write.mode("overwrite").parquet(output_path)
+    return spark.read.parquet(output_path)
+
+
 def run_benchmark(
     df: DataFrame,
     output_dir: str,
@@ -245,7 +266,7 @@ def run_benchmark(
 ) -> dict:
     """Benchmark the registered models, choose the final one and save the artifacts."""
     spark = df.sparkSession
-    data = prepare(df, test_share, seed)
+    data = prepare(df, test_share, seed, f"{output_dir}/_work")
     results, models, reports = benchmark_models(data, model_names, recall_floor, seed, registry)
     chosen = metrics.select_final_model(results).first()
     if chosen is None:
@@ -281,6 +302,7 @@ def run_benchmark(
         )
     summary = split_summary(data.rows, data.train, data.test, GROUP, TARGET).first().asDict()
     status = [record["status"] for record in records]
+    files.delete(spark, data.work)
     return {
         **{k: summary[k] for k in ("rows_used", "train_companies", "test_companies", "group_overlap")},
         "models_benchmarked": status.count("trained"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import first_match
 from ..functions.numbers import rounded
-from .columns import FEATURES
+from .columns import FEATURES, typed_features
 from .models import feature_names
 
 # Fixed values.
@@ -97,10 +97,9 @@ def global_drivers(model: PipelineModel, prepared: PipelineModel, top: int = TOP
 
 
 def feature_rows(df: DataFrame) -> DataFrame:
-    """All model features of each row; features the input lacks become NULL."""
-    have = set(df.columns)
+    """All model features of each row with their types; features the input lacks become NULL."""
     others = [c for c in df.columns if c not in FEATURES]
-    return df.select(*others, *[F.col(f) if f in have else F.lit(None).alias(f) for f in FEATURES])
+    return df.select(*others, *typed_features(df))
 
 
 def score_rows(

@@ -1,6 +1,6 @@
 """Train/test split by company: exact share of companies, decided row by row.
 
-Companies are ordered by a seeded hash and the first share of them is the test set. Only the
+Companies are ordered by a seeded SHA-256 and the first share of them is the test set. Only the
 position where the share ends is looked up; each row then compares its own hash with it, so
 the rows are neither joined nor shuffled.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKET_DIGITS = 3  # of the hash: 4096 buckets
 
 
 @dataclass(frozen=True)
@@ -22,8 +22,8 @@ class CompanyCut:
 
     group: str
     seed: int
-    bucket: int
-    hash: int
+    bucket: str
+    hash: str
     company: str | None
 
     def in_test(self) -> Column:
@@ -35,11 +35,12 @@ class CompanyCut:
 
 
 def _hash(group: str, seed: int) -> Column:
-    return F.xxhash64(F.col(group), F.lit(seed))
+    """The SHA-256 of seed and company in hex: a fixed order that other engines can repeat."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group)), 256)
 
 
 def _bucket(group: str, seed: int) -> Column:
-    return F.pmod(_hash(group, seed), F.lit(BUCKETS))
+    return F.substring(_hash(group, seed), 1, BUCKET_DIGITS)
 
 
 def company_cut(rows: DataFrame, group: str, test_share: float = 0.2, seed: int = 42) -> CompanyCut:
@@ -56,7 +57,7 @@ def company_cut(rows: DataFrame, group: str, test_share: float = 0.2, seed: int
             break
         left -= counts[bucket]
     else:
-        return CompanyCut(group, seed, 0, 0, None)
+        return CompanyCut(group, seed, "", "", None)
     last = (
         companies.filter(_bucket(group, seed) == bucket)
         .select(_hash(group, seed).alias("h"), group)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ml import columns, jobs, metrics, scoring, split
-from ..session import shared_folder
+from ..ml import columns, jobs, metrics, models, scoring, split
 from ..sources import sample_tables as samples
 from .sample_enrichment import model_rows
 
@@ -88,20 +85,46 @@ def score_bands(spark, sf_dir):
 
 
 def train_split(spark, sf_dir):
-    # Written once: the split looks at the companies several times.
-    path = f"{shared_folder(spark)}/split-{uuid.uuid4().hex}"
-    columns.training_rows(model_rows(spark, sf_dir)).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = columns.training_rows(model_rows(spark, sf_dir))
     train, test = split.split_by_company(rows, columns.GROUP)
     return split.split_summary(rows, train, test, columns.GROUP, columns.TARGET)
 
 
+def split_members(spark, sf_dir):
+    """Every company with its side of the split and its rows."""
+    rows = columns.training_rows(model_rows(spark, sf_dir))
+    train, test = split.split_by_company(rows, columns.GROUP)
+    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return sides.groupBy(columns.GROUP, "side").agg(F.count("*").alias("rows"))
+
+
+def fill_values(spark, sf_dir):
+    """What the preprocessing learns from the training side: medians, modes, means after filling."""
+    rows = columns.training_rows(model_rows(spark, sf_dir))
+    train, _ = split.split_by_company(rows, columns.GROUP)
+    stages = models.preprocessor(train).fit(train).stages
+    medians = stages[0].surrogateDF.first().asDict()
+    means = dict(zip(columns.NUMERIC_FEATURES, stages[2].mean.toArray().tolist(), strict=True))
+    modes = models.most_frequent(train, columns.CATEGORICAL_FEATURES)
+    found = [(name, float(medians[name]), round(means[name], 6), None) for name in columns.NUMERIC_FEATURES]
+    found += [(name, None, None, modes[name]) for name in columns.CATEGORICAL_FEATURES]
+    return spark.createDataFrame(found, "feature string, median double, mean double, mode string")
+
+
+def class_weights(spark, sf_dir):
+    rows = columns.training_rows(model_rows(spark, sf_dir))
+    train, _ = split.split_by_company(rows, columns.GROUP)
+    counts = models.class_counts(train)
+    weighted = train.select(columns.TARGET, models.balanced_weight(counts).alias("weight"))
+    return weighted.groupBy(columns.TARGET).agg(
+        F.count("*").alias("rows"), F.round(F.max("weight"), 9).alias("weight")
+    )
+
+
 def benchmark(spark, sf_dir):
-    """Quick models of the benchmark on the payment reports."""
+    """All models of the registry on the payment reports."""
     data = jobs.prepare(model_rows(spark, sf_dir))
-    names = ["dummy_majority", "dummy_stratified", "logistic_regression_balanced",
-             "ridge_classifier_balanced", "decision_tree_balanced", "extra_trees_balanced"]
-    results, _, _ = jobs.benchmark_models(data, names)
+    results, _, _ = jobs.benchmark_models(data)
     return results
 
 
@@ -127,6 +150,9 @@ QUERIES = {
     "model_best_baseline": model_best_baseline,
     "score_bands": score_bands,
     "train_split": train_split,
+    "split_members": split_members,
+    "fill_values": fill_values,
+    "class_weights": class_weights,
     "benchmark": benchmark,
     "predict_drivers": predict_drivers,
 }

@@ -35,6 +35,12 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(where))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a job's own work folder."""
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
 def write_json(spark: SparkSession, data: dict | list, path: str) -> str:
     """A small record as one JSON line under a path."""
     spark.createDataFrame([(json.dumps(data, default=str),)], "value string").coalesce(1).write.mode(

@@ -57,6 +57,56 @@ from best""",
 _WITH = "with " + ",\n".join(f"{n} as ({t})" for n, t in _BASE.items()) + "\n"
 _PUB = "with " + ",\n".join(f"{n} as ({t})" for n, t in TABLES.items()) + "\n"
 
+# The split, written out: companies in the order of the SHA-256 of "42:" and number.
+_SPLIT = """,
+usable as (select * from flagged where not is_rejected and company_number is not null and slow_payer_label is not null),
+ordered as (
+  select company_number, row_number() over (order by sha256('42:' || company_number), company_number) as place,
+    count(*) over () as n
+  from (select distinct company_number from usable) as c),
+sides as (
+  select u.*, case when place <= ceil(0.2::double * n) then 'test' else 'train' end as side
+  from usable as u join ordered using (company_number))
+"""
+
+_NUMERIC = [
+    "pct_paid_within_30",
+    "pct_paid_31_60",
+    "pct_paid_later_60",
+    "pct_not_paid_within_terms",
+    "pct_not_paid_due_to_dispute",
+    "shortest_standard_payment_period",
+    "longest_standard_payment_period",
+    "maximum_contractual_payment_period",
+    "company_reporting_count",
+    "payment_terms_changed_covid_related",
+    "payment_terms_changed_policy_related",
+    "payment_terms_changed_supplier_related",
+]
+_CATEGORIES = [
+    "payment_terms_changed_flag",
+    "e_invoicing_offered",
+    "supply_chain_financing_offered",
+    "participates_in_payment_codes",
+]
+
+
+def _number_fill(name: str) -> str:
+    """The lower median of a feature's values and the mean once it fills the gaps."""
+    return f"""
+select '{name}' as feature, m as median,
+  (select round(avg(coalesce(cast({name} as double), m)), 6) from sides where side = 'train') as mean,
+  cast(null as varchar) as mode
+from (select quantile_disc(cast({name} as double), 0.5) as m from sides where side = 'train') as q"""
+
+
+def _text_fill(name: str) -> str:
+    return f"""
+select '{name}', null, null,
+  (select v from (select cast({name} as varchar) as v, count(*) as n from sides
+     where side = 'train' and {name} is not null group by 1) as c order by n desc, v limit 1)"""
+
+
 ORACLES = {
     "thresholds": _WITH + _report(_GRID),
     "thresholds_by_model": _WITH + "select * from by_model",
@@ -102,12 +152,21 @@ select model_name, f1, roc_auc from results order by f1 desc, roc_auc desc, mode
     "score_bands": _WITH + """
 select case when score >= 0.6 then 'High' when score >= 0.3 then 'Medium' else 'Low' end as risk_band,
   count(*) as rows, cast(sum(label) as bigint) as positives from scored group by 1""",
-    "train_split": _PUB + """
+    "split_members": _PUB + _SPLIT + """
+select company_number, side, count(*) as rows from sides group by company_number, side""",
+    "fill_values": _PUB + _SPLIT + " union all ".join(
+        [_number_fill(n) for n in _NUMERIC] + [_text_fill(n) for n in _CATEGORIES]),
+    "class_weights": _PUB + _SPLIT + """
+select slow_payer_label, count(*) as rows,
+  round((select count(*) from sides where side = 'train')::double / (2::double * count(*)), 9) as weight
+from sides where side = 'train' group by slow_payer_label""",
+    "train_split": _PUB + _SPLIT + """
 select count(*) as rows_used, count(*) filter (slow_payer_label = 1) as positive_label_count,
   count(*) filter (slow_payer_label = 0) as negative_label_count,
   round(count(*) filter (slow_payer_label = 1)::double / count(*), 4) as positive_label_rate,
-  count(distinct company_number) - cast(ceil(0.2::double * count(distinct company_number)) as bigint) as train_companies,
-  cast(ceil(0.2::double * count(distinct company_number)) as bigint) as test_companies,
-  0::bigint as group_overlap
-from flagged where not is_rejected""",
+  count(distinct company_number) filter (side = 'train') as train_companies,
+  count(distinct company_number) filter (side = 'test') as test_companies,
+  (select count(*) from (select company_number from sides group by company_number having count(distinct side) > 1) as o)
+    as group_overlap
+from sides""",
 }

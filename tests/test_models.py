@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermill.ml import columns, jobs, metrics, models, scoring, split
+from ledgermill.sources import csv_files
 
 RESULTS = ("model_name string, status string, precision double, recall double, f1 double, roc_auc double,"
            " pr_auc double, brier_score double, selected_threshold double")
@@ -122,6 +123,24 @@ def test_training_and_scoring(spark, tmp_path):
     assert len(scored) == rows.count() and all(0 <= r["probability"] <= 1 for r in scored)
 
 
+def test_scoring_of_text_rows_that_lack_a_feature(spark, tmp_path):
+    rows = payment_rows(spark)
+    registry = {**models.model_registry(), "random_forest_balanced": models.ModelSpec(models._forest(5))}
+    paths = jobs.run_training(rows, str(tmp_path / "train"), registry=registry)["artifact_paths"]
+    whole = jobs.run_scoring(rows, paths["model_path"], str(tmp_path / "whole"), paths["threshold_config_path"])
+    rows.write.option("header", True).csv(str(tmp_path / "rows.csv"))
+    text = csv_files.read_ml_ready(spark, str(tmp_path / "rows.csv"))
+    assert {kind for _, kind in text.dtypes} == {"string"}
+    again = jobs.run_scoring(text, paths["model_path"], str(tmp_path / "text"), paths["threshold_config_path"])
+    assert sorted(r["probability"] for r in again.collect()) == sorted(r["probability"] for r in whole.collect())
+    lacking = rows.drop("company_reporting_count", "e_invoicing_offered")
+    scored = jobs.run_scoring(lacking, paths["model_path"], str(tmp_path / "lacking"))
+    assert scored.count() == rows.count()
+    assert scored.first()["feature_snapshot"]["company_reporting_count"] is None
+    with pytest.raises(ValueError, match="constant"):
+        jobs.save_model(None, jobs.load_model(paths["model_path"])[0], str(tmp_path / "none"))
+
+
 def test_linear_drivers(spark):
     row = spark.range(1).select(F.array(F.lit(2.0), F.lit(-1.0), F.lit(0.0), F.lit(1.0)).alias("v"))
     up, down = scoring.linear_drivers(F.col("v"), ["a", "b", "c", "d"], [1.0, 3.0, 9.0, 2.0], 2)
