@@ -93,7 +93,7 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, most: int = MAX_COPIES
     )
     state = stage(state, "op3-tilts")
     for _ in range(MAX_STEPS):
-        x = F.col("size") / F.col("mean_size")
+        x = F.try_divide("size", "mean_size")
         rate = _rate(F.col("tilt"), x, most)
         open_rows = histogram.alias("h").join(
             state.filter(~F.col("done")).alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))
@@ -103,12 +103,12 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, most: int = MAX_COPIES
             F.sum(F.when(F.col("tilt") * x < F.log(F.lit(float(most))), F.col("n") * rate * x * x).otherwise(0.0))
             .alias("slope"),
         )
-        wanted = F.col("target") / F.col("mean_size")
+        wanted = F.try_divide("target", "mean_size")
         miss = F.col("got") - wanted
         low = F.when(miss < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(miss > 0, F.col("tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - miss / F.col("slope")
-        inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
+        newton = F.col("tilt") - F.try_divide(miss, F.col("slope"))
+        inside = F.coalesce((newton > low) & (newton < high), F.lit(False))
         step = F.round(F.when(inside, newton).otherwise((low + high) / 2), 13)
         near = F.abs(miss) <= F.greatest(wanted * TOLERANCE, F.lit(1e-12))
         stuck = (high - low) < 1e-12
@@ -180,7 +180,7 @@ def mix_sources(docs: DataFrame, most: int = MAX_COPIES) -> DataFrame:
     targets = source_targets(histogram, most=most)
     tilts = solve_tilts(histogram, targets, most)
     rate = F.when(F.col("tilt").isNull(), float(most)).when(F.col("mean_size") == 0, 1.0).otherwise(
-        _rate(F.col("tilt"), F.col("size") / F.col("mean_size"), most)
+        _rate(F.col("tilt"), F.try_divide("size", "mean_size"), most)
     )
     same_source = F.col("h.source").eqNullSafe(F.col("t.source"))
     rated = histogram.alias("h").join(tilts.alias("t"), same_source).select(
