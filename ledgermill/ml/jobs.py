@@ -85,19 +85,19 @@ def fit_and_score(
     return model, spark.read.parquet(path), fitted - start, time.perf_counter() - fitted
 
 
-def evaluate(scored: DataFrame, has_probability: bool) -> dict:
+def evaluate(scored: DataFrame, has_probability: bool, work: str | None = None) -> dict:
     """Metrics at the default decision and over the ranking, as one record."""
     fixed = metrics.default_metrics(
         scored, F.col("predicted"), probability="score" if has_probability else None
     ).first()
-    ranking = metrics.ranking_metrics(metrics.score_curve(scored)).first()
+    ranking = metrics.ranking_metrics(metrics.score_curve(scored, work=work)).first()
     return {**fixed.asDict(), **ranking.asDict()}
 
 
 def _benchmark_record(name, spec, data, recall_floor, seed):
     model, scored, fit_seconds, score_seconds = fit_and_score(name, spec, data, seed)
     has_probability = spec.kind not in ("regression", "margin")
-    record = evaluate(scored, has_probability)
+    record = evaluate(scored, has_probability, f"{data.work}/curves/{name}")
     report = None
     if has_probability:
         # With probabilities, precision, recall, F1 and counts are those of the tuned threshold;
@@ -195,7 +195,7 @@ def run_training(
     results, fitted = {}, {}
     for name in model_names:
         model, scored, _, _ = fit_and_score(name, known[name], data, seed)
-        record = evaluate(scored, has_probability=True)
+        record = evaluate(scored, True, f"{data.work}/curves/{name}")
         results[name] = {k: record[k] for k in ("accuracy", "precision", "recall", "f1", "roc_auc")}
         fitted[name] = (model, scored)
     table = spark.createDataFrame(

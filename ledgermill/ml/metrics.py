@@ -62,37 +62,47 @@ def default_metrics(
     )
 
 
-def score_curve(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def score_curve(
+    scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), work: str | None = None,
+    buckets: int = CURVE_BUCKETS,
+) -> DataFrame:
     """Positives and negatives at and above every distinct score, at any number of scores.
 
     Distinct scores are cut into value ranges at approximate quantiles. Running counts are
-    kept inside a range; the totals of the ranges above (at most 257 rows) are added to them,
-    so no task sees all scores. The result is exact wherever the cuts fall.
+    kept inside a range; the totals of the ranges above (at most ``buckets`` + 1 rows) are
+    added to them, so no task sees all scores. The result is exact wherever the cuts fall.
+    ``by`` names columns that hold several models' rows. The counts per score are used three
+    times: ``work`` is a folder to write them to, so that the rows are read once.
     """
-    by_score = scored.groupBy(F.col(score).alias("score")).agg(
+    by_score = scored.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("positives"),
         F.sum((1 - F.col(label)).cast("bigint")).alias("negatives"),
     )
-    steps = [n / CURVE_BUCKETS for n in range(1, CURVE_BUCKETS)]
+    if work is not None:
+        by_score.write.mode("overwrite").parquet(work)
+        by_score = scored.sparkSession.read.schema(by_score.schema).parquet(work)
+    steps = [n / buckets for n in range(1, buckets)]
     cuts = sorted(set(by_score.approxQuantile("score", steps, 0.001)))
     splits = [float("-inf"), *cuts, float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="score", outputCol="range").transform(by_score)
 
-    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("range")
+        ranged.groupBy(*by, "range")
         .agg(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
         .select(
+            *by,
             "range",
             F.coalesce(F.sum("p").over(above), F.lit(0)).alias("positives_before"),
             F.coalesce(F.sum("n").over(above), F.lit(0)).alias("negatives_before"),
         )
     )
     running = (
-        Window.partitionBy("range").orderBy(F.desc("score"))
+        Window.partitionBy(*by, "range").orderBy(F.desc("score"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return ranged.join(F.broadcast(offsets), "range").select(
+    return ranged.join(offsets, [*by, "range"]).select(
+        *by,
         "score",
         "positives",
         "negatives",
@@ -101,7 +111,7 @@ def score_curve(scored: DataFrame, label: str = "label", score: str = "score") -
     )
 
 
-def ranking_metrics(curve: DataFrame) -> DataFrame:
+def ranking_metrics(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """ROC AUC (ties count half) and average precision from a score curve.
 
     NULL when a class is missing. The AUC is summed in whole numbers, so it does not depend on
@@ -113,13 +123,14 @@ def ranking_metrics(curve: DataFrame) -> DataFrame:
     area = (neg.cast(wide) * (2 * above + pos).cast(wide)).cast("decimal(38,0)")
     here = (F.col("positives_to_here") + F.col("negatives_to_here")).cast("double")
     precision = F.col("positives_to_here").cast("double") / here
-    sums = curve.agg(
+    sums = curve.groupBy(*by).agg(
         F.sum(area).cast("double").alias("area"),
         F.sum(pos).cast("double").alias("p"),
         F.sum(neg).cast("double").alias("n"),
         F.sum(pos.cast("double") * precision).alias("weighted"),
     )
     return sums.select(
+        *by,
         rounded(F.try_divide(F.col("area"), 2 * F.col("p") * F.col("n")), 4).alias("roc_auc"),
         rounded(F.try_divide(F.col("weighted"), F.col("p")), 4).alias("pr_auc"),
     )

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ml import columns, jobs, metrics, models, scoring, split
+from ..session import shared_folder
 from ..sources import sample_tables as samples
 from .sample_enrichment import model_rows
 
 
+HIGH_FLOOR = 1.01
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.mapped(spark, sf_dir, samples.SCORED_ROWS)
 
@@ -30,9 +36,8 @@ def best_threshold(spark, sf_dir):
 
 
 def best_threshold_high_floor(spark, sf_dir):
-    """A floor only the lowest threshold reaches, so the fallback is taken by some models."""
-    report = thresholds_by_model(spark, sf_dir).filter(F.col("threshold") > 0.3 + 0.02 * F.col("model_number"))
-    return metrics.best_threshold(report, 0.95, by=["model_number"])
+    """A floor that no threshold reaches, so every model takes the fallback."""
+    return metrics.best_threshold(thresholds_by_model(spark, sf_dir), HIGH_FLOOR, by=["model_number"])
 
 
 def default_metrics(spark, sf_dir):
@@ -40,7 +45,8 @@ def default_metrics(spark, sf_dir):
 
 
 def ranking(spark, sf_dir):
-    return metrics.ranking_metrics(metrics.score_curve(scored(spark, sf_dir)))
+    work = f"{shared_folder(spark)}/ranking-{uuid.uuid4().hex}"
+    return metrics.ranking_metrics(metrics.score_curve(scored(spark, sf_dir), work=work))
 
 
 def calibration(spark, sf_dir):
@@ -56,14 +62,17 @@ def model_results(spark, sf_dir):
     best = best_threshold(spark, sf_dir)
     number = F.col("model_number")
     name = F.when(number == 3, metrics.BASELINE_MODEL).otherwise(F.concat(F.lit("model_"), number.cast("string")))
-    return best.select(
+    curve = metrics.score_curve(
+        scored(spark, sf_dir), by=["model_number"], work=f"{shared_folder(spark)}/curves-{uuid.uuid4().hex}"
+    )
+    return best.join(metrics.ranking_metrics(curve, by=["model_number"]), "model_number").select(
         name.alias("model_name"),
         F.when(number == 7, "skipped").otherwise("trained").alias("status"),
         "precision",
         "recall",
         "f1",
-        (F.col("precision") / 2).alias("roc_auc"),
-        F.when(number != 2, F.col("recall") / 2).alias("pr_auc"),
+        "roc_auc",
+        F.when(number != 2, F.col("pr_auc")).alias("pr_auc"),
         F.lit(None).cast("double").alias("brier_score"),
         "selected_threshold",
     )

@@ -59,6 +59,20 @@ class Inputs:
     def metrics(self):
         return customers.aggregate_customers(self.invoices())
 
+    def stored_customers(self):
+        """All customers; those with few invoices under another id, as if not stored yet."""
+        known = F.col("total_invoices") > 9
+        return self.metrics().withColumn(
+            "customer_id", F.when(known, F.col("customer_id")).otherwise(F.concat(F.lit("OLD-"), "customer_id"))
+        )
+
+    def stored_invoices(self):
+        """All invoices; the closed ones under other ids, as if not stored yet."""
+        kept = F.col("is_open") == 1
+        return self.invoices().withColumns(
+            {name: F.when(kept, F.col(name)).otherwise(F.concat(F.lit("OLD-"), name)) for name in ("invoice_id", "customer_id")}
+        )
+
     def scored(self, settings=LOW_LEVELS):
         return scoring.score_customers(self.metrics(), settings)
 
@@ -254,8 +268,7 @@ def top_customers(spark, sf_dir):
 def import_customer_merge(spark, sf_dir):
     """Customers after an import: the last row of each customer names it."""
     i = Inputs(spark, sf_dir)
-    stored = i.metrics().filter(F.col("total_invoices") > 9)
-    merged = importing.merge_customers(stored.withColumn("risk_score", F.lit(7)), i.imported())
+    merged = importing.merge_customers(i.stored_customers().withColumn("risk_score", F.lit(7)), i.imported())
     return doubles(
         merged.select("customer_id", "customer_name", "business_code", "default_currency",
                       "total_invoices", "open_amount", "risk_score")
@@ -264,7 +277,7 @@ def import_customer_merge(spark, sf_dir):
 
 def import_invoice_merge(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    stored = i.invoices().filter(F.col("is_open") == 1).withColumns(
+    stored = i.stored_invoices().withColumns(
         {"status": F.lit("Open"), "imported_on": F.lit(None).cast("timestamp")}
     )
     merged = importing.merge_invoices(stored, i.imported(), F.lit(None).cast("timestamp"))
@@ -276,7 +289,7 @@ def import_invoice_merge(spark, sf_dir):
 
 def upsert_counts(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    stored = i.invoices().filter(F.col("is_open") == 1)
+    stored = i.stored_invoices()
     rows = i.imported()
     by_invoice = importing.merge_counts(rows, stored, "invoice_id")
     by_customer = importing.merge_counts(rows, stored.select("customer_id").distinct(), "customer_id")
@@ -322,7 +335,7 @@ QUERIES = {
     "invoice_risk_custom": _with(lambda i: doubles(i.assessed(LOW_LEVELS))),
     "invoices_without_customer": _with(
         lambda i: assessments.invoices_without_customer(
-            i.invoices(), i.metrics().filter(F.col("total_invoices") > 9)
+            i.invoices(), i.stored_customers()
         )
     ),
     "assessment_merge": assessment_merge,

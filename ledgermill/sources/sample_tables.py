@@ -132,12 +132,14 @@ from (select *, o_orderkey % 31 as k, cast(posting_date as string) as d
       from ({_ORDER_BASE}) as b) as u
 """
 
-# Assessments and actions as an earlier run could have left them, some now out of date.
+# Assessments and actions as an earlier run could have left them, some now out of date. Every
+# order gives one; where the run's invoices must not be stored yet, the key is shifted to that
+# of an invoice that is gone.
 OLD_ASSESSMENTS = f"""
-select 'A' || cast(o_orderkey as string) as assessment_id,
-       case when o_orderkey % 7 = 1 then null else cast(o_orderkey as string) end as receivables_invoice,
-       case when o_orderkey % 7 = 2 then null else cast(o_orderkey as string) end as external_invoice_id,
-       cast(o_orderkey as string) as invoice_id,
+select 'A' || cast(stored_key as string) as assessment_id,
+       case when o_orderkey % 7 = 1 then null else cast(stored_key as string) end as receivables_invoice,
+       case when o_orderkey % 7 = 2 then null else cast(stored_key as string) end as external_invoice_id,
+       cast(stored_key as string) as invoice_id,
        'C' || cast(o_custkey as string) as receivables_customer,
        'C' || cast(o_custkey as string) as customer_id,
        'Customer ' || cast(o_custkey as string) as customer_name,
@@ -155,16 +157,17 @@ select 'A' || cast(o_orderkey as string) as assessment_id,
             when o_orderkey % 17 = 0 then null else 'Low' end as risk_level,
        'Monitor' as suggested_action,
        'Earlier run.' as explanation
-from ({_ORDER_BASE}) as b
-where o_orderkey % 2 = 0 or is_open = 1 and o_orderkey % 3 = 0
+from (select *, case when o_orderkey % 2 = 0 or is_open = 1 and o_orderkey % 3 = 0 then o_orderkey
+                     else o_orderkey + 1000000000 end as stored_key
+      from ({_ORDER_BASE}) as b) as b
 """
 
 OLD_ACTIONS = f"""
-select 'X' || cast(o_orderkey as string) as action_id,
+select 'X' || cast(stored_key as string) as action_id,
        'C' || cast(o_custkey as string) as receivables_customer,
-       cast(o_orderkey as string) as receivables_invoice,
-       'A' || cast(o_orderkey as string) as invoice_risk_assessment,
-       case when o_orderkey % 41 = 0 then '' else cast(o_orderkey as string) end as external_invoice_id,
+       cast(stored_key as string) as receivables_invoice,
+       'A' || cast(stored_key as string) as invoice_risk_assessment,
+       case when o_orderkey % 41 = 0 then '' else cast(stored_key as string) end as external_invoice_id,
        'C' || cast(o_custkey as string) as customer_id,
        'Customer ' || cast(o_custkey as string) as customer_name,
        case o_orderkey % 3 when 0 then 'Escalate Collection' when 1 then 'Immediate Follow-up'
@@ -174,11 +177,11 @@ select 'X' || cast(o_orderkey as string) as action_id,
             when 3 then 'Escalated' when 4 then 'Resolved' else '' end as status,
        posting_date + term as due_date,
        case o_orderkey % 4 when 0 then null when 1 then '' else 'Called on day one.' end as notes,
-       case when o_orderkey % 6 = 4 then null else cast(o_orderkey as string) || ':old' end
+       case when o_orderkey % 6 = 4 then null else cast(stored_key as string) || ':old' end
          as active_invoice_key,
        cast((o_orderkey * 7) % 101 as int) as created_from_risk_score
-from ({_ORDER_BASE}) as b
-where o_orderkey % 4 <> 3
+from (select *, case when o_orderkey % 4 <> 3 then o_orderkey else o_orderkey + 1000000000 end as stored_key
+      from ({_ORDER_BASE}) as b) as b
 """
 
 # Public payment reports: one per supplier and quarter of shipment, as raw text, with some
@@ -252,9 +255,11 @@ where copy = 1 or (l_suppkey % 20 = 3 and q = 2)
 """
 
 # Financial facts: several filed values per supplier and concept, some unusable, with equal
-# filing dates to exercise the tie rules. ``pos`` is the place in the document's array.
+# filing dates to exercise the tie rules. Concepts a supplier must lack keep their rows under an
+# unused name. ``pos`` is the place in the document's array.
 FACT_ROWS = """
-select l_suppkey, concept,
+select l_suppkey,
+       case when l_suppkey % skip = 1 or l_suppkey % 37 = 36 then 'Unused' || concept else concept end as concept,
        cast((y - 1990) * 8 + variant as int) as pos,
        case when variant = 3 and (l_suppkey + y) % 5 = 0 then 'n.a.'
             else cast(base * weight + variant as string) end as val,
@@ -291,7 +296,6 @@ from (
     ) as per_concept
   ) as per_variant
 ) as f
-where l_suppkey % skip <> 1 and l_suppkey % 37 <> 36
 """
 
 # Scored test rows: a label and a probability with three decimals.

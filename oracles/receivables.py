@@ -467,7 +467,8 @@ select coalesce(n.customer_id, o.customer_id) as customer_id,
   case when n.customer_id is not null then n.business_code else o.business_code end as business_code,
   case when n.customer_id is not null then n.currency else o.default_currency end as default_currency,
   o.total_invoices, o.open_amount, case when o.customer_id is not null then 7 end as risk_score
-from (select * from metrics where total_invoices > 9) as o
+from (select * replace (case when total_invoices > 9 then customer_id else 'OLD-' || customer_id end as customer_id)
+  from metrics) as o
 full outer join (select * from imported
   qualify row_number() over (partition by customer_id order by row_number desc) = 1) as n
   on o.customer_id = n.customer_id""", UPLOAD, CUSTOMERS),
@@ -478,7 +479,8 @@ select coalesce(n.invoice_id, o.invoice_id) as invoice_id, """ + ", ".join(
     ) + """,
   cast(case when n.invoice_id is not null then n.invoice_amount else o.invoice_amount end as double) as invoice_amount,
   n.days_overdue, case when n.invoice_id is not null then n.status else 'Open' end as status
-from (select * from invoices where is_open = 1) as o
+from (select * replace (case when is_open = 1 then invoice_id else 'OLD-' || invoice_id end as invoice_id,
+    case when is_open = 1 then customer_id else 'OLD-' || customer_id end as customer_id) from invoices) as o
 full outer join (select * from imported
   qualify row_number() over (partition by invoice_id order by row_number desc) = 1) as n
   on o.invoice_id = n.invoice_id""", UPLOAD),
