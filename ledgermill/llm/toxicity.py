@@ -7,8 +7,9 @@ scoring, the models fitted on all labelled rows supply them.
 
 Models are fitted on at most SAMPLE labelled documents, chosen by a hash of their ids. That
 bound is the only one: every document is scored over its whole text. Features are learnt, not
-hashed, so words of long documents can't collide with the words that matter, and the L1 part
-of the penalty leaves weight only on features that tell. Those few weights are what scoring tasks get.
+hashed, so words of long documents can't collide with the words that matter. The features that
+tell most about each category are found first, by one aggregate over the sample; the fits then
+work on short rows, and scoring tasks get a few thousand weights.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from itertools import chain as chained
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from .common import stage
 from .pieces import Kept
 
 SAMPLE = 8_000  # labelled documents that models are fitted on, at most
-VOCABULARY = 50_000  # features of the sample that models may use, at most; the most frequent
+FEATURES = 1_500  # that models may use, at most, for each category; those that tell most
 MIN_DOCUMENTS = 4  # of the sample, for a feature to be used
 PREFIXES = range(3, 9)  # letters of the word beginnings
 LEVELS = 3
@@ -39,7 +40,7 @@ FOLDS = 3
 PENALTY = 1e-3
 L1_SHARE = 0.3
 POSITIVE_WEIGHT = 4.0  # positives are rare, and missing one counts for more
-STEPS = 40
+STEPS = 15
 THRESHOLD = 0.5
 # Words, and runs of signs such as junk and masking leave.
 _TOKEN = re.compile(r"[^\W_]+|[!-/:-@\[-`{-~]{2,}")
@@ -82,7 +83,7 @@ class ToxicityChain:
 
     def probabilities(self, spark: SparkSession, text: Column) -> Column:
         """A struct of p_<category>. Null and empty texts have no features: intercepts decide."""
-        shared = spark.sparkContext.broadcast(self.links)  # at most VOCABULARY weights a category
+        shared = spark.sparkContext.broadcast(self.links)  # FEATURES bounds the weights
         names = [f"p_{name}" for name in self.categories]
 
         @F.pandas_udf(", ".join(f"{name} double" for name in names))
@@ -166,6 +167,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
     )
 
 
+def telling_features(rows: DataFrame, names: list[str]) -> list[str]:
+    """The features of the sample that tell most about each category, by the chi-square statistic.
+
+    Ties go to the feature that sorts first. Features of under MIN_DOCUMENTS rows are not used.
+    """
+    sums = [F.sum(f"_y_{name}").alias(name) for name in names]
+    totals = rows.agg(F.count("*").alias("n"), *sums).first()
+    each = rows.select(F.explode("_tokens").alias("feature"), *[f"_y_{name}" for name in names]).groupBy("feature")
+    counts = stage(each.agg(F.count("*").alias("n"), *sums).filter(F.col("n") >= min(MIN_DOCUMENTS, totals["n"])), "op10-counts")
+    found: set[str] = set()
+    for name in names:
+        n, positive = float(totals["n"]), float(totals[name] or 0.0)
+        odd = F.col(name) * n - F.col("n") * positive
+        chi = odd * odd / (F.col("n") * (n - F.col("n")) + 1)
+        best = counts.select("feature", chi.alias("chi")).filter("chi > 0").orderBy(F.desc("chi"), "feature").limit(FEATURES)
+        found |= {row["feature"] for row in best.collect()}
+    return sorted(found)
+
+
 def fit_chain(
     docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, sample: int = SAMPLE
 ) -> ToxicityChain:
@@ -178,20 +198,18 @@ def fit_chain(
     names = list(categories)
     rows = stage(labelled_sample(docs, labels, categories, sample), "op10-sample")
     chain = ToxicityChain(names)
-    least = F.count("*") >= min(MIN_DOCUMENTS, rows.count())
-    if rows.select(F.explode("_tokens").alias("token")).groupBy("token").agg(least.alias("enough")).filter("enough").isEmpty():
+    vocabulary = telling_features(rows, names)
+    if not vocabulary:
         means = rows.agg(*[F.avg(f"_y_{name}") for name in names]).first()
         for k, mean in enumerate(means):
             logit = -500.0 if not mean else 500.0 if mean == 1 else math.log(mean / (1 - mean))
             chain.links.append(Link({}, [0.0] * k, logit))
         return chain
-    counter = CountVectorizer(
-        inputCol="_tokens", outputCol="_words", binary=True, vocabSize=VOCABULARY, minDF=min(MIN_DOCUMENTS, rows.count())
-    ).fit(rows)
-    frame = stage(counter.transform(rows).drop("_tokens"), "op10-features")
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_tokens", outputCol="_words").setBinary(True)
+    frame = stage(counter.transform(rows).drop("_tokens").coalesce(FOLDS * 2), "op10-features")
     for k, name in enumerate(names):
         earlier = names[:k]
-        chain.links.append(_link(_fit(frame, earlier, name), counter.vocabulary, k))
+        chain.links.append(_link(_fit(frame, earlier, name), vocabulary, k))
         if k + 1 < len(names):
             parts = [
                 _fold_probability(frame.filter(F.col("_fold") == fold), _fit(frame.filter(F.col("_fold") != fold), earlier, name),
