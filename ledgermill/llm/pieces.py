@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
-
-KEPT_PIECES = 200_000  # in each of two generations per worker
+KEPT_PIECES = 600_000  # in each of two generations per worker, about 200 bytes each
 
 # Signs that never merge with a letter before them in the word vocabulary's split rule.
 _SIGNS = ".,;:!?*#%&$()"
@@ -40,21 +39,22 @@ class Kept(dict):
         return value
 
 
-def _letters(piece: str) -> bool:
+def _plain_letters(piece: str) -> bool:
     """Letters that stay letters, one for one, when lower-cased."""
-    return piece.isalpha() and max(piece) <= _LAST_KNOWN_LETTER and "\u0130" not in piece
+    return piece.isalpha() and (piece.isascii() or (max(piece) <= _LAST_KNOWN_LETTER and "\u0130" not in piece))
 
 
 @lru_cache(maxsize=2)
 def word_piece_encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids (unsigned 32-bit), equal to encoding the text in one call.
+    """A function from a text to its ids, equal to encoding the text in one call.
 
-    For tokenizers that lower-case, drop white space and never merge across it, such as the
-    word BPE file: the pieces between spaces and line breaks are then independent. A piece of
+    Ids come as unsigned 16-bit numbers, or 32-bit ones if the vocabulary needs them. For
+    tokenizers that lower-case, drop white space and never merge across it, such as the word
+    BPE file: the pieces between spaces and line breaks are then independent. A piece of
     letters alone is one word of the model, so it skips the normalizer and the split rule.
     """
     tokenizer = load(path)
-    model = tokenizer.model
+    tokenize, kind = tokenizer.model.tokenize, id_code(tokenizer.get_vocab_size())
     # What the byte-level step makes of each letter.
     as_bytes = {
         c: tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0]
@@ -62,23 +62,28 @@ def word_piece_encoder(path: str) -> Callable[[str], bytes]:
     }
 
     def compute(piece: str) -> bytes:
-        core = piece.rstrip(_SIGNS)
-        if core and _letters(core):
-            if len(core) < len(piece):
-                return pieces[core] + pieces[piece[len(core) :]]  # the split rule always cuts here
+        if _plain_letters(piece):
             word = piece.lower()
             if word != piece:
                 return pieces[word]
-            found = [token.id for token in model.tokenize(word if word.isascii() else word.translate(as_bytes))]
+            found = [token.id for token in tokenize(word if word.isascii() else word.translate(as_bytes))]
         else:
+            core = piece.rstrip(_SIGNS)
+            if len(core) < len(piece) and _plain_letters(core):
+                return pieces[core] + pieces[piece[len(core) :]]  # the split rule always cuts here
             found = tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(found, np.uint32).tobytes()
+        return array(kind, found).tobytes()
 
     pieces = Kept(compute)
     pieces[""] = b""
-    breaks = str.maketrans("\n\t\r", "   ")
 
     def ids_of(text: str) -> bytes:
-        return b"".join(map(pieces.__getitem__, text.translate(breaks).split(" ")))
+        spaced = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        return b"".join(map(pieces.__getitem__, spaced.split(" ")))
 
     return ids_of
+
+
+def id_code(vocabulary: int) -> str:
+    """The array code of ids: 16 bits where all ids fit, else 32."""
+    return "H" if vocabulary <= 1 << 16 else "I"

@@ -17,6 +17,7 @@ executors only repeat tasks.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stage
-from .pieces import word_piece_encoder
+from .pieces import id_code, load, word_piece_encoder
 
 CODE_LIMIT = 18  # bits; raised when the vocabulary needs more, at most MAX_LIMIT
 MAX_LIMIT = 24
@@ -40,34 +41,39 @@ SLICE_IDS = 1_000_000  # ids that one encoding step handles at once
 # ---- token ids ---------------------------------------------------------------------------------
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1) -> DataFrame:
-    """Ids of every whole text: doc_id, ids (little-endian unsigned 32-bit numbers), n_tokens.
+    """Ids of every whole text: doc_id, ids (little-endian unsigned numbers of 16 or 32 bits), n_tokens.
 
     Null and empty texts hold the end id alone. Rows are independent.
     """
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.BinaryType()),
                            T.StructField("n_tokens", T.LongType())])
-    end = b"" if end_id is None else np.uint32(end_id).tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_piece_encoder(tokenizer_path)
+        kind = id_code(load(tokenizer_path).get_vocab_size())
+        end = array(kind, [] if end_id is None else [end_id])
+        width, end = end.itemsize, end.tobytes()
         for batch in batches:
             found = [ids_of(text.as_py() or "") + end for text in batch.column(1)]
-            sizes = pa.array([len(ids) // 4 for ids in found], pa.int64())
+            sizes = pa.array([len(ids) // width for ids in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), sizes],
                                              names=["doc_id", "ids", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 
+def _numbers(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, np.dtype(f"<u{len(blob) // n}" if n else "<u2"))
+
+
 def id_counts(encoded: DataFrame) -> DataFrame:
     """How often each id occurs in all documents: id, n. Each task adds up its own ids first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column(0):
-                here = np.bincount(np.frombuffer(blob.as_py(), np.uint32))
+            for blob, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                here = np.bincount(_numbers(blob.as_py(), n))
                 if len(here) > len(total):
                     total = np.pad(total, (0, len(here) - len(total)))
                 total[: len(here)] += here
@@ -75,7 +81,7 @@ def id_counts(encoded: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())],
                                          names=["id", "n"])
 
-    parts = encoded.select("ids").mapInArrow(count, "id long, n long")
+    parts = encoded.select("ids", "n_tokens").mapInArrow(count, "id long, n long")
     return parts.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -229,30 +235,34 @@ def write_token_files(encoded: DataFrame, path: str) -> None:
     spark.createDataFrame(codebook, "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast(tuple(codebook))  # at most the vocabulary
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, length = _code_arrays(shared.value)
-        for batch in batches:
-            blobs = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column("ids")]
-            done = [pair for part in _slices(blobs) for pair in encode_slice(part, code, length)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_tokens"),
-                 pa.array([p for p, _ in done], pa.binary()), pa.array([c for _, c in done], pa.binary())],
-                names=["doc_id", "n_tokens", "payload", "checkpoints"],
-            )
-
     id_type = encoded.schema["doc_id"].dataType
-    coded = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()),
-                          T.StructField("payload", T.BinaryType()), T.StructField("checkpoints", T.BinaryType())])
-    rows = encoded.mapInArrow(encode, coded)
-    # Only compressed documents are shuffled. No count is given, so AQE sizes the partitions.
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", F.xxhash64("payload"))
+    # Ids are put in order before they are coded: a range shuffle reads its input twice, and
+    # reading is cheaper than coding. No count is given, so AQE sizes the partitions.
+    ordered = encoded.select("doc_id", "n_tokens", "ids").repartitionByRange("doc_id").sortWithinPartitions(
+        "doc_id", "n_tokens", F.xxhash64("ids")
+    )
     blocks = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()),
         T.StructField("first", T.LongType()), T.StructField("n_ids", T.LongType()),
         T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("doc_tokens", T.ArrayType(T.LongType())),
         T.StructField("checkpoints", T.BinaryType()), T.StructField("payload", T.BinaryType()),
     ])
-    ordered.mapInArrow(_gather_blocks, blocks).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+
+    def code_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gather_blocks(_coded(batches, *_code_arrays(shared.value)))
+
+    ordered.mapInArrow(code_blocks, blocks).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+
+
+def _coded(batches: Iterator[pa.RecordBatch], code: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = batch.column("n_tokens")
+        blobs = [_numbers(x.as_py(), n) for x, n in zip(batch.column("ids"), sizes.to_pylist(), strict=True)]
+        done = [pair for part in _slices(blobs) for pair in encode_slice(part, code, length)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), sizes, pa.array([p for p, _ in done], pa.binary()), pa.array([c for _, c in done], pa.binary())],
+            names=["doc_id", "n_tokens", "payload", "checkpoints"],
+        )
 
 
 def _gather_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
