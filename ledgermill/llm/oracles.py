@@ -1,3 +1,82 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express, by plain brute force."""
 
-ORACLES = {}
+from __future__ import annotations
+
+import string
+
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_PLAIN = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+_NEAR = f"""
+with recursive words as (select doc_id, {_SPACED} as w from documents),
+runs as (
+  select doc_id, array_to_string(w[s : s + 4], ' ') as run, count(*) as c
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as s from words where len(w) > 0) as x
+  group by all),
+sizes as (select doc_id, sum(c) as n from runs group by doc_id),
+common_runs as (
+  select x.doc_id as a, y.doc_id as b, sum(least(x.c, y.c)) as common
+  from runs as x join runs as y on x.run = y.run and x.doc_id <> y.doc_id group by all),
+links as (
+  select a, b, common = x.n and common = y.n as same
+  from common_runs join sizes as x on a = x.doc_id join sizes as y on b = y.doc_id
+  where common::double / (x.n + y.n - common) >= 0.8::double),
+reached(a, b) as (
+  select doc_id, doc_id from documents union select r.a, l.b from reached as r join links as l on r.b = l.a)
+select doc_id, least(doc_id, (select min(b) from links where a = doc_id and same)) as bag_id,
+  class_id, class_id = doc_id as kept
+from documents join (select a, min(b) as class_id from reached group by a) as g on a = doc_id"""
+
+_REPEATS = f"""
+with words as (select doc_id, {_SPACED} as w from documents),
+windows as (
+  select doc_id, s, array_to_string(w[s : s + 19], ' ') as run
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as s from words where len(w) >= 20) as x),
+later as (select * from windows qualify row_number() over (partition by run order by doc_id, s) > 1),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as place from later),
+kept as (
+  select x.doc_id, string_agg(word, ' ' order by x.place) as text, count(*) as n
+  from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as place from words) as x
+  anti join gone using (doc_id, place) group by x.doc_id)
+select w.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed,
+  sha256(coalesce(text, '')) as kept_sha256
+from words as w left join kept using (doc_id)"""
+
+_LINKS = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+links as (
+  select x.vec_id as a, y.vec_id as b from v as x join v as y on x.vec_id <> y.vec_id
+  where list_cosine_similarity(x.e, y.e) >= 0.95::double),
+reached(a, b) as (
+  select vec_id, vec_id from v union select r.a, l.b from reached as r join links as l on r.b = l.a)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, component_id = vec_id as kept
+from v join (select a, min(b) as component_id from reached group by a) as g on a = vec_id"""
+
+_LEAKS = f"""
+with words as (select doc_id, {_PLAIN} as w from documents),
+windows as (
+  select distinct item_id, array_to_string(w[s : s + 9], ' ') as run, least(len(w), 10) as n
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s
+        from (select item_id, {_PLAIN} as w from benchmark) as b where len(w) > 0) as x),
+places as (
+  select doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') as run
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s
+        from words, (select distinct n from windows) as l where len(w) >= n) as x),
+found as (select doc_id, s, p.n, item_id from places as p join windows as i on p.run = i.run),
+hit as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(s, s + n)) as place from found) as x group by doc_id),
+items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids
+  from (select distinct doc_id, item_id::varchar as item from found) as x group by doc_id)
+select w.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words as w left join hit using (doc_id) left join items using (doc_id)"""
+
+ORACLES = {
+    "op1_near_dedup": _NEAR,
+    "op2_substring_dedup": _REPEATS,
+    "op7_embedding_dedup": _LINKS,
+    "op9_decontamination": _LEAKS,
+}
