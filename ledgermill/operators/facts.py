@@ -89,6 +89,7 @@ RATIOS = {
 EXTREME_CURRENT_RATIO, EXTREME_NET_MARGIN = 20, 5
 TOP_SIC = 10
 FIRST_DAY = "0001-01-01"
+UNREADABLE = "unreadable"
 
 _FACT = T.StructType([T.StructField(n, T.StringType()) for n in ("val", "filed", "end", "form")])
 _UNITS = T.StructType([T.StructField(UNIT, T.ArrayType(_FACT))])
@@ -115,8 +116,22 @@ DOCUMENT = T.StructType(
 
 
 def parse_documents(texts: DataFrame, text: str = "value") -> DataFrame:
-    """Document texts as ``document`` structs, next to the other columns."""
-    return texts.withColumn("document", F.from_json(F.col(text), DOCUMENT)).drop(text)
+    """Document texts as ``document`` structs, next to the other columns.
+
+    A text that is not a JSON object is kept in ``document.unreadable``.
+    """
+    schema = T.StructType([*DOCUMENT.fields, T.StructField(UNREADABLE, T.StringType())])
+    nothing = F.from_json(F.lit("{}"), schema)  # blank and null texts parse to NULL
+    parsed = F.coalesce(F.from_json(F.col(text), schema, {"columnNameOfCorruptRecord": UNREADABLE}), nothing)
+    empty = F.coalesce(F.trim(text) == "", F.lit(True))
+    unreadable = F.when(empty, F.coalesce(text, F.lit(""))).otherwise(parsed[UNREADABLE])
+    return texts.withColumn("document", parsed.withField(UNREADABLE, unreadable)).drop(text)
+
+
+def unreadable_documents(documents: DataFrame) -> DataFrame:
+    """Documents that could not be parsed, with ``problems``; the others make profiles."""
+    bad = documents.filter(F.col(f"document.{UNREADABLE}").isNotNull())
+    return bad.withColumn("problems", F.array(F.lit("Document is not a JSON object")))
 
 
 def _day_or_first(text: Column) -> Column:
@@ -226,11 +241,11 @@ def risk_band() -> Column:
 
 
 def company_profiles(documents: DataFrame, *keep: str) -> DataFrame:
-    """One profile per document, also for documents without any fact.
+    """One profile per readable document, also for documents without any fact.
 
     ``keep`` names further input columns to carry along.
     """
-    picked = pick_facts(documents)
+    picked = pick_facts(documents.filter(F.col(f"document.{UNREADABLE}").isNull()))
     doc = F.col("document")
     name = F.coalesce(F.nullif(doc["entityName"], F.lit("")), doc["entity_name"])
     base = picked.select(
@@ -281,6 +296,7 @@ def profile_quality(profiles: DataFrame) -> DataFrame:
 
     metrics = {
         "total_companies": F.count("*"),
+        "unique_ciks": F.count_distinct("cik") if "cik" in have else F.lit(None),
         "missing_entity_name": missing("entity_name"),
         "missing_latest_filed_date": missing("latest_filed_date"),
         "missing_latest_fiscal_period_end": missing("latest_fiscal_period_end"),
@@ -298,16 +314,7 @@ def profile_quality(profiles: DataFrame) -> DataFrame:
     counts = unpivot_metrics(row, list(keys.values())).withColumn(
         "metric", F.replace("metric", F.lit("__"), F.lit("."))
     )
-    if "cik" not in have:
-        unique = profiles.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("unique_ciks"))
-    else:
-        unique = (
-            profiles.filter(F.col("cik").isNotNull())
-            .select("cik")
-            .distinct()
-            .agg(F.count("*").alias("unique_ciks"))
-        )
-    return counts.unionByName(unpivot_metrics(unique, ["unique_ciks"]))
+    return counts
 
 
 def quality_summary(profiles: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, facts, payments
+from ..operators.common import reject_rows
 from ..sources import csv_files, documents, files
 
 # The fields of the review export.
@@ -83,15 +84,25 @@ def build_profiles(spark: SparkSession, input_path: str, limit: int | None = Non
     return facts.company_profiles(facts.parse_documents(texts))
 
 
+def document_rejects(spark: SparkSession, input_path: str, limit: int | None = None) -> DataFrame:
+    """Documents that are not JSON, in the form of the rejects table."""
+    parsed = facts.parse_documents(documents.read_documents(spark, input_path, limit))
+    bad = facts.unreadable_documents(parsed).select("name", F.col("document.unreadable").alias("text"), "problems")
+    return reject_rows(bad, "documents", "name", "problems")
+
+
 def process_company_facts(
     spark: SparkSession, input_path: str, output_path: str, limit: int | None = None, file_format: str = "parquet"
 ) -> dict:
     path = files.write_table(build_profiles(spark, input_path, limit), output_path, file_format)
+    rejects = files.write_table(document_rejects(spark, input_path, limit), f"{output_path}_rejects")
     stored = spark.read.option("header", True).format(file_format).load(path)
     return {
         "input_path": str(input_path),
         "output_path": path,
         "companies_processed": stored.count(),
+        "documents_rejected": spark.read.parquet(rejects).count(),
+        "rejects_path": rejects,
         "columns": facts.PROFILE_COLUMNS,
     }
 

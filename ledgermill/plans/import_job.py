@@ -64,16 +64,19 @@ def import_dataset(
     limit: int | None = None,
     as_of: str = importing.DEFAULT_AS_OF,
     run_at: datetime | None = None,
+    multiline: bool = False,
 ) -> dict:
-    """Import a cleaned invoice file, or its first rows."""
+    """Import a cleaned invoice file, or its first rows; ``multiline`` if fields hold line breaks."""
     clock, run = run_clock(run_at)
-    rows = csv_files.read_clean_invoices(store.spark, path, limit)
+    rows = csv_files.read_clean_invoices(store.spark, path, limit, multiline, store.staging("tagged", run))
     return import_rows(store, store.stage(rows, "read", run), as_of, clock, run)
 
 
-def validate_upload(store: TableStore, path: str | Sequence[str], run: str) -> tuple[dict, DataFrame | None]:
+def validate_upload(
+    store: TableStore, path: str | Sequence[str], run: str, multiline: bool = False
+) -> tuple[dict, DataFrame | None]:
     """(totals with status and error summary, validated rows); no rows when the header is bad."""
-    rows = csv_files.read_upload(store.spark, path)
+    rows = csv_files.read_upload(store.spark, path, multiline, store.staging("tagged", run))
     missing = validation.header_errors(rows.columns)
     if missing:
         totals = {"total_rows": 0, "valid_rows": 0, "invalid_rows": 0, "error_count": len(missing),
@@ -97,11 +100,12 @@ def run_import_job(
     as_of: str = importing.DEFAULT_AS_OF,
     settings: Mapping | None = None,
     run_at: datetime | None = None,
+    multiline: bool = False,
 ) -> dict:
     """Validate, import, recalculate; the job's row ends in import_jobs whatever happens."""
     started = run_at or datetime.now()
     clock, run = run_clock(started)
-    totals, validated = validate_upload(store, path, run)
+    totals, validated = validate_upload(store, path, run, multiline)
     job = {
         **{k: totals[k] for k in ("total_rows", "valid_rows", "invalid_rows", "validation_summary",
                                   "error_summary", "status")},
@@ -129,4 +133,5 @@ def run_import_job(
                                     "invoices_updated", "customers_summarized")},
     )
     _record(store, run, job)
+    store.clear_staging(run)
     return {"validation": totals, "import": imported, "recalculation": recalculated, "status": job["status"]}

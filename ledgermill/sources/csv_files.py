@@ -16,8 +16,8 @@ _FILE, _START, _ID = "__file", "__start", "__id"
 
 
 def _scan(spark: SparkSession, multiline: bool):
-    """Quotes are doubled inside quoted fields. Fields may hold line breaks unless the caller
-    rules them out, which lets Spark split large files."""
+    """Quotes are doubled inside quoted fields. Where fields may hold line breaks (``multiline``),
+    Spark can't split a file; without them large files are split."""
     return (
         spark.read.option("header", True)
         .option("quote", '"')
@@ -33,17 +33,22 @@ def _clean_header(df: DataFrame) -> DataFrame:
     return df if names == df.columns else df.toDF(*names)
 
 
-def read_raw_invoices(spark: SparkSession, path: str | Sequence[str], multiline: bool = True) -> DataFrame:
+def read_raw_invoices(spark: SparkSession, path: str | Sequence[str], multiline: bool = False) -> DataFrame:
     """The raw export: 19 columns by position, header skipped."""
     return _scan(spark, multiline).schema(text_schema(RAW_INVOICE_COLUMNS)).csv(path)
 
 
-def read_numbered(spark: SparkSession, path: str | Sequence[str], multiline: bool = True) -> DataFrame:
+def read_numbered(
+    spark: SparkSession, path: str | Sequence[str], multiline: bool = False, work: str | None = None
+) -> DataFrame:
     """Text rows with ``row_index`` (over all files, in path order, from 0) and ``row_number``
     (within the file, from 2, as the first line is the header).
 
     Rows are counted per file block and numbered inside it, so the numbering needs neither a
     sort nor a single task: the block counts (one row per block) are summed up and joined back.
+    Counts and rows must come from one reading, as a second one may cut the files elsewhere:
+    ``work`` is a folder to write the tagged rows to. Without it both are read in one plan,
+    which is safe only while the number of executors stays.
     """
     rows = _scan(spark, multiline).csv(path)
     tagged = _clean_header(
@@ -54,6 +59,9 @@ def read_numbered(spark: SparkSession, path: str | Sequence[str], multiline: boo
             F.monotonically_increasing_id().alias(_ID),
         )
     )
+    if work is not None:
+        tagged.write.mode("overwrite").parquet(work)
+        tagged = spark.read.schema(tagged.schema).parquet(work)
     blocks = tagged.groupBy(_FILE, _START).agg(F.count("*").alias("n"), F.min(_ID).alias("first_id"))
     earlier = Window.orderBy(_FILE, _START).rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
@@ -73,23 +81,25 @@ def first_rows(numbered: DataFrame, limit: int | None) -> DataFrame:
 
 
 def read_clean_invoices(
-    spark: SparkSession, path: str | Sequence[str], limit: int | None = None, multiline: bool = True
+    spark: SparkSession, path: str | Sequence[str], limit: int | None = None, multiline: bool = False, work: str | None = None
 ) -> DataFrame:
     """A cleaned invoice file; ``row_number`` orders rows over all files."""
-    rows = first_rows(read_numbered(spark, path, multiline), limit)
+    rows = first_rows(read_numbered(spark, path, multiline, work), limit)
     return rows.withColumn("row_number", F.col("row_index") + FIRST_DATA_LINE).drop("row_index")
 
 
-def read_upload(spark: SparkSession, path: str | Sequence[str], multiline: bool = True) -> DataFrame:
+def read_upload(
+    spark: SparkSession, path: str | Sequence[str], multiline: bool = False, work: str | None = None
+) -> DataFrame:
     """An uploaded file with the line number of each row."""
-    return read_numbered(spark, path, multiline).drop("row_index")
+    return read_numbered(spark, path, multiline, work).drop("row_index")
 
 
 def read_payment_reports(
-    spark: SparkSession, path: str | Sequence[str], multiline: bool = True
+    spark: SparkSession, path: str | Sequence[str], multiline: bool = True, work: str | None = None
 ) -> DataFrame:
-    """Payment-practice reports; ``original_row_index`` counts rows in file order from 0."""
-    rows = read_numbered(spark, path, multiline)
+    """Payment-practice reports, whose fields do hold line breaks; ``original_row_index`` counts rows in file order from 0."""
+    rows = read_numbered(spark, path, multiline, work)
     return rows.withColumnRenamed("row_index", "original_row_index").drop("row_number")
 
 

@@ -35,6 +35,12 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(where))
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it exists; only one of several callers succeeds."""
+    fs, where = _fs(spark, path)
+    return fs.createNewFile(where)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a job's own work folder."""
     fs, where = _fs(spark, path)

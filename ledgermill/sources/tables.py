@@ -62,7 +62,11 @@ class TableStore:
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Write a new snapshot and return it as stored, extra columns included."""
-        where = f"{self.path(name)}/v{self._next(name):06d}"
+        # The number is claimed by an exclusive create, so two writers can't take the same one.
+        number = self._next(name)
+        while not files.claim(self.spark, f"{self.path(name)}/_claim-{number:06d}"):
+            number += 1
+        where = f"{self.path(name)}/v{number:06d}"
         df.write.mode("overwrite").parquet(where)
         return self.spark.read.parquet(where)
 
@@ -77,8 +81,16 @@ class TableStore:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return schemas.conform(self.spark.read.parquet(self.path(name)), SCHEMAS[name])
 
+    def staging(self, label: str, run: str) -> str:
+        """Where a run keeps an intermediate result."""
+        return f"{self.root}/_staging/{run}/{label}"
+
+    def clear_staging(self, run: str) -> None:
+        """Drop a finished run's intermediate results."""
+        files.delete(self.spark, f"{self.root}/_staging/{run}")
+
     def stage(self, df: DataFrame, label: str, run: str) -> DataFrame:
         """A written intermediate result: read many times, computed once."""
-        where = f"{self.root}/_staging/{run}/{label}"
+        where = self.staging(label, run)
         df.write.mode("overwrite").parquet(where)
         return self.spark.read.parquet(where)

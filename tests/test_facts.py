@@ -37,6 +37,15 @@ def test_profile(spark):
     assert [c for c in row.asDict() if c != "n"] == facts.PROFILE_COLUMNS
 
 
+def test_unreadable_documents_are_set_aside(spark, tmp_path):
+    for name, text in (("a", json.dumps(document(**FULL))), ("b", "{not json"), ("c", " "), ("d", "{}")):
+        (tmp_path / f"{name}.json").write_text(text)
+    result = enrichment_jobs.process_company_facts(spark, str(tmp_path), str(tmp_path / "out"))
+    assert (result["companies_processed"], result["documents_rejected"]) == (2, 2)
+    rejects = spark.read.parquet(result["rejects_path"]).orderBy("row_key").collect()
+    assert [r["row_key"][-6:] for r in rejects] == ["b.json", "c.json"] and "not json" in rejects[0]["row_text"]
+
+
 def test_choice_of_facts(spark):
     rows = profiles(
         spark,

@@ -68,8 +68,25 @@ def test_numbering_over_blocks_and_files(spark, tmp_path):
     assert all(r["row_number"] == r["row_index"] + 2 - (700 if r["row_index"] >= 700 else 0) for r in rows)
 
 
+def test_numbers_do_not_depend_on_how_a_file_is_cut(spark, tmp_path):
+    lines = "\n".join(f"{n},value {n}" for n in range(3000))
+    (tmp_path / "a.csv").write_text("key,text\n" + lines + "\n", encoding="utf-8")
+    found = []
+    for size in ("2048", "9999"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            numbered = csv_files.read_numbered(spark, str(tmp_path / "a.csv"), work=str(tmp_path / f"tagged-{size}"))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        # Other settings hold when the rows are read; the numbers come from the tagged rows.
+        found.append({int(r["key"]): r["row_number"] for r in numbered.collect()})
+    assert found[0] == found[1] == {n: n + 2 for n in range(3000)}
+
+
 def test_limit_and_quoted_line_breaks(spark, tmp_path):
     path = tmp_path / "clean.csv"
     path.write_text('customer_id,invoice_id,note\nC1,1,"two\nlines"\nC2,2,"a ""b"""\nC3,3,\n', encoding="utf-8")
-    rows = csv_files.read_clean_invoices(spark, str(path), limit=2).orderBy("row_number").collect()
+    rows = csv_files.read_clean_invoices(spark, str(path), limit=2, multiline=True).orderBy("row_number").collect()
     assert [(r["row_number"], r["invoice_id"], r["note"]) for r in rows] == [(2, "1", "two\nlines"), (3, "2", 'a "b"')]
