@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgermill.llm import decontamination, mixing, near_copies, token_files, toxicity
-from ledgermill.llm.common import table, work_path
+from ledgermill.llm.common import small_batches, table, work_path
 from ledgermill.llm.queries import WORD_TOKENIZER, tokenizer_path
 
+# Workers outlive a stage, so the last one's store takes room from the others.
+KEPT_PIECES = 100_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic. It is fitted on all labels of ``docs``."""
@@ -21,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of smallest id."""
+    small_batches(spark)
     return near_copies.keep_one_of_each(docs)
 
 
@@ -36,8 +40,9 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files of the mix, read back: one row per document with its place in them."""
+    small_batches(spark)
     path = work_path(spark, "pipeline-tokens")
-    token_files.encode_to_files(docs, tokenizer_path(WORD_TOKENIZER), path)
+    token_files.encode_to_files(docs, tokenizer_path(WORD_TOKENIZER), path, kept=KEPT_PIECES)
     return token_files.read_token_files(spark, path, with_ids=False)
 
 

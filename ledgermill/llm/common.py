@@ -19,7 +19,21 @@ PLAIN_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
+# Rows of whole texts that travel to a Python worker at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in smaller batches than Spark's 10,000 rows.
+
+    Jobs on whole documents call this once: both the executor and its workers hold a batch.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, to be sent on in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -45,6 +45,7 @@ SIZE = BANDS * ROWS
 # the estimate below SIMILARITY.
 WORTH = SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / SIZE)
 BLOCK = 512  # classes on one side of a compared block
+PAIRS = 200  # that a task verifies at once
 
 
 # ---- bags and signatures -------------------------------------------------------------------------
@@ -191,7 +192,10 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILA
         for batch in batches:
             if not batch.num_rows:
                 continue
-            good = pa.array(bag_similarities(batch.column(2), batch.column(3)) >= similarity)
+            # Bags are several times larger than texts, so only a few pairs' are held at once.
+            cuts = range(0, batch.num_rows, PAIRS)
+            found = [bag_similarities(*[batch.column(c).slice(k, PAIRS) for c in (2, 3)]) for k in cuts]
+            good = pa.array(np.concatenate(found) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     texts = _texts_of(stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "op1-wanted"), docs)

@@ -33,6 +33,7 @@ class Kept(dict):
         if value is None:
             value = self._compute(key)
         if len(self) >= self._size:
+            self._older = {}  # gone before the copy is made
             self._older = dict(self)
             self.clear()
         self[key] = value
@@ -44,8 +45,8 @@ def _plain_letters(piece: str) -> bool:
     return piece.isalpha() and (piece.isascii() or (max(piece) <= _LAST_KNOWN_LETTER and "\u0130" not in piece))
 
 
-@lru_cache(maxsize=2)
-def word_piece_encoder(path: str) -> Callable[[str], bytes]:
+@lru_cache(maxsize=1)
+def word_piece_encoder(path: str, kept: int = KEPT_PIECES) -> Callable[[str], bytes]:
     """A function from a text to its ids, equal to encoding the text in one call.
 
     Ids come as unsigned 16-bit numbers, or 32-bit ones if the vocabulary needs them. For
@@ -74,7 +75,7 @@ def word_piece_encoder(path: str) -> Callable[[str], bytes]:
             found = tokenizer.encode(piece, add_special_tokens=False).ids
         return array(kind, found).tobytes()
 
-    pieces = Kept(compute)
+    pieces = Kept(compute, kept)
     pieces[""] = b""
 
     def ids_of(text: str) -> bytes:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stage
-from .pieces import id_code, load, word_piece_encoder
+from .pieces import KEPT_PIECES, id_code, load, word_piece_encoder
 
 CODE_LIMIT = 18  # bits; raised when the vocabulary needs more, at most MAX_LIMIT
 MAX_LIMIT = 24
@@ -40,16 +40,17 @@ SLICE_IDS = 1_000_000  # ids that one encoding step handles at once
 
 # ---- token ids ---------------------------------------------------------------------------------
 
-def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, kept: int = KEPT_PIECES) -> DataFrame:
     """Ids of every whole text: doc_id, ids (little-endian unsigned numbers of 16 or 32 bits), n_tokens.
 
-    Null and empty texts hold the end id alone. Rows are independent.
+    Null and empty texts hold the end id alone. Rows are independent. ``kept`` bounds the
+    store of encoded pieces, which stays with a worker.
     """
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.BinaryType()),
                            T.StructField("n_tokens", T.LongType())])
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_piece_encoder(tokenizer_path)
+        ids_of = word_piece_encoder(tokenizer_path, kept)
         kind = id_code(load(tokenizer_path).get_vocab_size())
         end = array(kind, [] if end_id is None else [end_id])
         width, end = end.itemsize, end.tobytes()
@@ -341,6 +342,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     return placed.select("part_start", "first", "doc_ids", "doc_tokens", "checkpoints", "payload").mapInArrow(decode, out)
 
 
-def encode_to_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = 1) -> None:
+def encode_to_files(
+    docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = 1, kept: int = KEPT_PIECES
+) -> None:
     """Tokenize all documents and write their ids under ``path``."""
-    write_token_files(stage(token_ids(docs, tokenizer_path, end_id), "op5-ids"), path)
+    write_token_files(stage(token_ids(docs, tokenizer_path, end_id, kept), "op5-ids"), path)

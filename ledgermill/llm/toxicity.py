@@ -41,6 +41,7 @@ PENALTY = 1e-3
 L1_SHARE = 0.3
 POSITIVE_WEIGHT = 4.0  # positives are rare, and missing one counts for more
 STEPS = 15
+KEPT_TOKENS = 50_000  # of a scoring task, with the stems that tell
 THRESHOLD = 0.5
 # Words, and runs of signs such as junk and masking leave.
 _TOKEN = re.compile(r"[^\W_]+|[!-/:-@\[-`{-~]{2,}")
@@ -90,7 +91,7 @@ class ToxicityChain:
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             links = shared.value
             known = {feature[:-1] for link in links for feature in link.weights}
-            telling = Kept(lambda token: tuple(stem for stem in token_stems(token) if stem in known))
+            telling = Kept(lambda token: tuple(stem for stem in token_stems(token) if stem in known), KEPT_TOKENS)
             for texts in batches:
                 rows = []
                 for text in texts:
