@@ -62,25 +62,30 @@ def without_marker(line: str) -> str:
 
 # ---- lines in order ------------------------------------------------------------------------------
 
+LINE = "struct<blank:boolean,before:array<struct<line:string,role:string,n:bigint>>,line:string,role:string,begins:boolean>"
+
+
 def pack_segments(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Ordered lines in bounded rows: conv_id, part, number, lines (array of blank, line, role, begins).
+    """Ordered lines in bounded rows: conv_id, part, number, lines (array of LINE).
 
     ``lines`` has conv_id, place (any ordered column), line and, for labelled ones, role and
-    begins. Blank lines are dropped; the next line remembers them. A transcript's first line
-    counts as after a blank.
+    begins. Blank lines are no lines of their own: the next line holds them in ``before``, equal
+    ones that follow each other as one entry with their number. A transcript's first line counts
+    as after a blank; blank lines after its last line are dropped.
     """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        conv, held, blank = object(), [], True
+        conv, held, gap, first = object(), [], [], True
 
         def flush(kind) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([conv], kind), pa.array([part], pa.int32()), pa.array([number], pa.int32()),
-                 pa.array([held], pa.list_(pa.struct([("blank", pa.bool_()), ("line", pa.string()),
+                 pa.array([held], pa.list_(pa.struct([("blank", pa.bool_()), ("before", before), ("line", pa.string()),
                                                       ("role", pa.string()), ("begins", pa.bool_())])))],
                 names=["conv_id", "part", "number", "lines"],
             )
 
+        before = pa.list_(pa.struct([("line", pa.string()), ("role", pa.string()), ("n", pa.int64())]))
         kind = None
         for batch in batches:
             kind = batch.column(0).type
@@ -89,19 +94,22 @@ def pack_segments(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
                     yield flush(kind)
                     number, held = number + 1, []
                 if own != conv:
-                    conv, blank = own, True
+                    conv, gap, first = own, [], True
                 if not line.strip():
-                    blank = True
+                    if gap and (gap[-1]["line"], gap[-1]["role"]) == (line, role):
+                        gap[-1]["n"] += 1
+                    else:
+                        gap.append({"line": line, "role": role, "n": 1})
                     continue
-                held.append({"blank": blank, "line": line, "role": role, "begins": begins})
-                blank = False
+                held.append({"blank": first or bool(gap), "before": gap, "line": line, "role": role, "begins": begins})
+                gap, first = [], False
         if held:
             yield flush(kind)
 
     kind = lines.schema["conv_id"].dataType.simpleString()
     ordered = lines.repartitionByRange("conv_id", "place").sortWithinPartitions("conv_id", "place")
     return ordered.select("conv_id", "line", "role", "begins").mapInArrow(
-        pack, f"conv_id {kind}, part int, number int, lines array<struct<blank:boolean,line:string,role:string,begins:boolean>>"
+        pack, f"conv_id {kind}, part int, number int, lines array<{LINE}>"
     )
 
 
@@ -207,12 +215,32 @@ def border_states(model: TurnModel, matrices: list[np.ndarray]) -> list[tuple[in
 
 # ---- parsing -------------------------------------------------------------------------------------
 
+def turn_text(lines: list[dict], begins: bool, goes_on: bool) -> str:
+    """The lines of a turn, or of a piece of it, with the blank lines between them.
+
+    Blank lines before the first line of a turn only part it from the turn before. White space
+    at a turn's two ends is dropped, at the borders of its pieces it is kept.
+    """
+    body = []
+    for k, x in enumerate(lines):
+        if begins and k == 0:
+            body.append(without_marker(x["line"]))
+            continue
+        for gap in x["before"]:
+            body += [gap["line"]] * gap["n"]
+        body.append(x["line"])
+    text = "\n".join(body)
+    text = text.lstrip() if begins else text
+    return text if goes_on else text.rstrip()
+
+
 def parse_segments(segments: DataFrame, model: TurnModel) -> DataFrame:
     """Canonical turns: conv_id, turn (from 0), piece, role, n_lines, text, n_right.
 
-    A turn longer than a segment comes in several pieces. ``n_right`` counts lines whose given
-    role was recovered. ``segments`` is read three times and should be a written table. A
-    transcript without lines has no turns.
+    A turn longer than a segment comes in several pieces, whose texts joined with line breaks
+    are the turn's. ``n_lines`` counts its lines, with the blank ones between them; ``n_right``
+    those of them whose given role was recovered. ``segments`` is read three times and should be
+    a written table. A transcript without lines has no turns.
     """
     shared = segments.sparkSession.sparkContext.broadcast(model)
     kind = segments.schema["conv_id"].dataType.simpleString()
@@ -226,21 +254,27 @@ def parse_segments(segments: DataFrame, model: TurnModel) -> DataFrame:
     def borders(table: pa.Table) -> pa.Table:
         table = table.sort_by([("part", "ascending"), ("number", "ascending")])
         found = border_states(shared.value, [np.frombuffer(m, float).reshape(STATES, STATES) for m in table.column("matrix").to_pylist()])
+        goes_on = [first % 2 == 1 for first, _ in found[1:]] + [False]
         return pa.table({"part": table.column("part"), "number": table.column("number"),
-                         "first": pa.array([a for a, _ in found], pa.int32()), "last": pa.array([b for _, b in found], pa.int32())})
+                         "first": pa.array([a for a, _ in found], pa.int32()), "last": pa.array([b for _, b in found], pa.int32()),
+                         "goes_on": pa.array(goes_on, pa.bool_())})
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("at", pa.int32()), ("begins", pa.bool_()),
                             ("role", pa.string()), ("n_lines", pa.int64()), ("text", pa.string()), ("n_right", pa.int64())])
         for batch in batches:
             out, convs = {name: [] for name in schema.names}, []
-            for row, (part, number, lines, first, last) in enumerate(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)):
+            for row, (part, number, lines, first, last, goes_on) in enumerate(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)):
                 path = best_path(shared.value, lines, first, last)
                 cuts = [0, *[k for k in range(1, len(path)) if path[k] % 2 == 0], len(path)]
                 for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     begins, role = path[a] % 2 == 0, ROLES[path[a] // 2]
-                    body = [without_marker(x["line"]) if begins and k == 0 else x["line"] for k, x in enumerate(lines[a:b])]
-                    values = (part, number, at, begins, role, b - a, "\n".join(body).strip(), sum(x["role"] == role for x in lines[a:b]))
+                    own = lines[a:b]
+                    gaps = [gap for x in own[begins:] for gap in x["before"]]
+                    n_lines = b - a + sum(gap["n"] for gap in gaps)
+                    n_right = sum(x["role"] == role for x in own) + sum(gap["n"] for gap in gaps if gap["role"] == role)
+                    text = turn_text(own, begins, goes_on and b == len(path))
+                    values = (part, number, at, begins, role, n_lines, text, n_right)
                     for name, value in zip(out, values, strict=True):
                         out[name].append(value)
                     convs.append(row)
@@ -251,9 +285,9 @@ def parse_segments(segments: DataFrame, model: TurnModel) -> DataFrame:
     # Border states only need the small matrices. Nearly all transcripts are one segment.
     small = stage(segments.select("conv_id", "part", "number", "lines").mapInArrow(
         matrices, f"conv_id {kind}, part int, number int, matrix binary"), "op4-matrices")
-    ends = stage(small.groupBy("conv_id").applyInArrow(borders, "part int, number int, first int, last int"), "op4-borders")
+    ends = stage(small.groupBy("conv_id").applyInArrow(borders, "part int, number int, first int, last int, goes_on boolean"), "op4-borders")
     pieces = stage(
-        segments.join(ends, ["part", "number"]).select("conv_id", "part", "number", "lines", "first", "last").mapInArrow(
+        segments.join(ends, ["part", "number"]).select("conv_id", "part", "number", "lines", "first", "last", "goes_on").mapInArrow(
             decode, f"conv_id {kind}, part int, number int, at int, begins boolean, role string, n_lines long, text string, n_right long"),
         "op4-pieces",
     )

@@ -122,6 +122,22 @@ def test_odd_conversations(spark):
     assert transcripts.format_conversations(spark.createDataFrame([], CONVERSATIONS)).count() == 0
 
 
+@pytest.mark.parametrize("segment", [2000, 3])
+def test_blank_lines_inside_a_turn_are_kept(spark, segment):
+    answer = "First paragraph.\n\nSecond one,\nof two lines.\n\n\n```\nif x:\n    \n\n    y = 1  \n```\n\nLast."
+    rows = [row for conv in range(60) for row in ((conv, 0, "user", "So?\n\nAnd why?"), (conv, 1, "assistant", answer), (conv, 2, "user", "Thanks."))]
+    lines = transcripts.conversation_lines(spark.createDataFrame(rows, CONVERSATIONS))
+    segments = transcripts.stage(transcripts.pack_segments(lines, segment), "test")
+    turns = transcripts.parse_segments(segments, transcripts.fit_model(segments)).orderBy("conv_id", "turn", "piece").collect()
+    got = {}
+    for t in turns:
+        role, n, text = got.get((t["conv_id"], t["turn"]), (t["role"], 0, None))
+        got[t["conv_id"], t["turn"]] = (role, n + t["n_lines"], t["text"] if text is None else text + "\n" + t["text"])
+    right = [got.get((conv, turn)) == (role, text.count("\n") + 1, text) for conv, turn, role, text in rows]
+    assert sum(right) / len(rows) > 0.9
+    assert all(t["n_right"] <= t["n_lines"] for t in turns)
+
+
 def test_markers():
     assert [transcripts.line_features(x, False)[0] for x in ("User: a", "### Response: b", "[SYSTEM] c", "Bob: d", "users of it", "A man")] == [1, 2, 0, 3, 4, 4]
     assert transcripts.without_marker("<|assistant|>text") == "text"
