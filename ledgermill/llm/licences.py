@@ -6,7 +6,8 @@ each file; each occurrence, shifted by the word's place in a template, gives a s
 template may stand. There the template's whole posting list is compared by relative position:
 the score of a template is the IDF share of its words that stand in place. A licence is
 reported where its score reaches MIN_SCORE and one of its mandatory key phrases stands in the
-file. Base phrases are reported wherever all their words stand consecutively.
+file. Base phrases are reported wherever all their words stand consecutively. The templates
+are an argument: TEMPLATES, which has the standard notices of the usual licences, or any small table.
 
 Only JVM-side DataFrame functions run here, without a shuffle of texts: the templates are
 constants, so their postings travel inside the plan.
@@ -15,11 +16,13 @@ constants, so their postings travel inside the plan.
 from __future__ import annotations
 
 import math
+import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_words, settled
+from .common import SEPARATORS, plain_words, settled
 
 MIN_SCORE = 0.75
 
@@ -30,6 +33,26 @@ BASE_PHRASES = [
     ("cc-by-nc", "cc by nc"),
 ]
 
+_FSF = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation {}"
+_LATER = "of the license or at your option any later version"
+
+
+def _fsf_notices(label: str, name: str, version: str) -> list[tuple[str, str, list[str]]]:
+    """The notices of the Free Software Foundation for one version, with and without later ones.
+
+    A key phrase goes from the licence's name to its version, as the notices of GPL, LGPL and
+    AGPL are alike besides.
+    """
+    key = f"gnu {name} as published by the free software foundation"
+    return [
+        (label, _FSF.format(name, f"either version {version} {_LATER}"), [f"{key} either version {version}"]),
+        (label, _FSF.format(name, f"version {version}"), [f"{key} version {version}"]),
+        (label, "you can redistribute it and or modify it under the terms of the gnu "
+                f"{name} version {version} as published by the free software foundation",
+         [f"gnu {name} version {version} as published by the free software foundation"]),
+    ]
+
+
 # label, notice text, key phrases of which one must stand in the file.
 TEMPLATES = [
     ("mit", "released under the mit license", ["mit license"]),
@@ -60,19 +83,85 @@ TEMPLATES = [
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain",
      ["dedicated the work to the public domain"]),
     ("proprietary", "all rights reserved", ["all rights reserved"]),
+    # The standard headers and the first lines of the licence texts.
+    *_fsf_notices("gpl-2", "general public license", "2"),
+    *_fsf_notices("gpl-3", "general public license", "3"),
+    *_fsf_notices("lgpl", "library general public license", "2"),
+    *_fsf_notices("lgpl", "lesser general public license", "2 1"),
+    *_fsf_notices("lgpl", "lesser general public license", "3"),
+    *_fsf_notices("agpl-3", "affero general public license", "3"),
+    ("gpl-2", "gnu general public license version 2 june 1991", ["gnu general public license version 2 june 1991"]),
+    ("gpl-3", "gnu general public license version 3 29 june 2007", ["gnu general public license version 3 29 june 2007"]),
+    ("lgpl", "gnu library general public license version 2 june 1991", ["gnu library general public license version 2"]),
+    ("lgpl", "gnu lesser general public license version 2 1 february 1999", ["gnu lesser general public license version 2 1"]),
+    ("lgpl", "gnu lesser general public license version 3 29 june 2007", ["gnu lesser general public license version 3"]),
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007", ["gnu affero general public license version 3"]),
+    ("apache-2", "apache license version 2 0 january 2004", ["apache license version 2 0 january 2004"]),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0",
+     ["mozilla public license v 2 0"]),
+    ("mpl-2", "mozilla public license version 2 0 1 definitions", ["mozilla public license version 2 0"]),
+    ("epl-1", "this program and the accompanying materials are made available under the terms of the eclipse public "
+              "license v1 0 which accompanies this distribution", ["eclipse public license v1 0", "eclipse public license 1 0"]),
+    ("epl-1", "eclipse public license v 1 0 the accompanying program is provided under the terms of this eclipse public license",
+     ["eclipse public license v 1 0"]),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public "
+              "license 2 0 which is available at", ["eclipse public license 2 0"]),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public "
+              "license v 2 0 which", ["eclipse public license v 2 0"]),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public "
+              "license v2 0 which", ["eclipse public license v2 0"]),
+    ("epl-2", "eclipse public license v 2 0 the accompanying program is provided under the terms of this eclipse public license",
+     ["eclipse public license v 2 0"]),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and "
+             "to alter it and redistribute it freely subject to the following restrictions",
+     ["granted to anyone to use this software for any purpose"]),
+    ("artistic-1", "the intent of this document is to state the conditions under which a package may be copied such that "
+                   "the copyright holder maintains some semblance of artistic control",
+     ["semblance of artistic control"]),
+    ("artistic-2", "the artistic license 2 0 copyright c 2000 2006 the perl foundation", ["artistic license 2 0"]),
+    ("artistic-2", "you can redistribute it and or modify it under the terms of the artistic license 2 0",
+     ["artistic license 2 0"]),
+    ("artistic-2", "you can redistribute it and or modify it under the terms of the the artistic license 2 0",
+     ["artistic license 2 0"]),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee",
+     ["copy modify and distribute this software for any purpose with or without fee"]),
+    ("bsl-1", "distributed under the boost software license version 1 0", ["boost software license version 1 0"]),
+    ("bsl-1", "boost software license version 1 0 august 17th 2003", ["boost software license version 1 0"]),
+    ("cc0", "creative commons legal code cc0 1 0 universal", ["cc0 1 0 universal"]),
 ]
 
+_PLAIN = str.maketrans(SEPARATORS + string.ascii_uppercase, " " * len(SEPARATORS) + string.ascii_lowercase)
+
+Template = tuple[str, list[str], list[list[str]]]
 
-def _vocabulary() -> list[str]:
-    texts = [phrase for _, phrase in BASE_PHRASES]
-    for _, text, keys in TEMPLATES:
+
+def template_words(templates: DataFrame | Sequence[tuple[str, str, Sequence[str]]]) -> list[Template]:
+    """Label, words and words of the key phrases of each template, by the word rule of the documents.
+
+    ``templates`` is a small table of label, text and keys (array), or such tuples. A template
+    needs words, and key phrases that have words.
+    """
+    if isinstance(templates, DataFrame):
+        templates = [tuple(row) for row in templates.select("label", "text", "keys").collect()]
+    found = [(label, (text or "").translate(_PLAIN).split(" "), [(key or "").translate(_PLAIN).split(" ") for key in keys or []])
+             for label, text, keys in templates]
+    found = [(label, [w for w in text if w], [[w for w in key if w] for key in keys]) for label, text, keys in found]
+    for label, text, keys in found:
+        if label is None or not text or not keys or not all(keys):
+            raise ValueError(f"a template needs a label, a text and key phrases: {label}")
+    return found
+
+
+def _vocabulary(templates: list[Template]) -> list[str]:
+    texts = [phrase.split() for _, phrase in BASE_PHRASES]
+    for _, text, keys in templates:
         texts += [text, *keys]
-    return sorted({word for text in texts for word in text.split()})
+    return sorted({word for text in texts for word in text})
 
 
-def licence_word_idf(docs: DataFrame) -> dict[str, float]:
+def licence_word_idf(docs: DataFrame, templates: list[Template]) -> dict[str, float]:
     """IDF of every licence word over all documents: ln((1 + documents) / (1 + with the word))."""
-    vocabulary = _vocabulary()
+    vocabulary = _vocabulary(templates)
     present = F.array_intersect(plain_words(F.col("text")), F.array(*map(F.lit, vocabulary)))
     counts = (
         docs.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("word"))
@@ -126,19 +215,29 @@ def _holds(words: Column, phrase: list[str], rare: Column, idf: dict[str, float]
     )
 
 
-def scan_licences(docs: DataFrame) -> DataFrame:
+def _shares(words: list[str], idf: dict[str, float]) -> list[float]:
+    """Each word's share of a template's IDF. Where all documents hold all its words they weigh the same."""
+    total = sum(idf[word] for word in words)
+    return [idf[word] / total if total else 1 / len(words) for word in words]
+
+
+def scan_licences(
+    docs: DataFrame, templates: DataFrame | Sequence[tuple[str, str, Sequence[str]]] = tuple(TEMPLATES)
+) -> DataFrame:
     """One row per document row with the licences found in it.
 
+    ``templates``: label, text and key phrases, see ``template_words``; ``[*TEMPLATES, ...]`` adds own ones.
     Returns doc_id, n_words, base_places (array of label and start), found (array of label,
     start and score of each template that reaches MIN_SCORE with a key phrase), score (best
     template, 1 where a base phrase stands). Null and empty texts have no words, no places and
     score 0. Rows are independent, so repeated rows and repeated ids each get their own result.
     """
     docs = docs.select("doc_id", "text")
-    idf = licence_word_idf(docs)
+    templates = template_words(templates)
+    idf = licence_word_idf(docs, templates)
     base = [phrase.split() for _, phrase in BASE_PHRASES]
-    texts = [text.split() for _, text, _ in TEMPLATES]
-    keys = [key.split() for _, _, ks in TEMPLATES for key in ks]
+    texts = [text for _, text, _ in templates]
+    keys = [key for _, _, ks in templates for key in ks]
     rare_words = sorted(
         {w for p in base + keys for w, _ in _rarest(p, idf, 1)} | {w for p in texts for w, _ in _rarest(p, idf, 2)}
     )
@@ -170,14 +269,14 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     template_literal = F.array(*[
         F.array(*[
             F.struct(F.lit(at).alias("at"), F.lit(word).alias("word"),
-                     F.lit(idf[word] / (sum(idf[w] for w in text) or 1.0)).alias("share"))
-            for at, word in enumerate(text)
+                     F.lit(share).alias("share"))
+            for at, (word, share) in enumerate(zip(text, _shares(text, idf), strict=True))
         ])
         for text in texts
     ])
-    labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
+    labels = F.array(*[F.lit(label) for label, _, _ in templates])
     allowed = F.array(*[
-        F.exists(F.array(*[_holds(words, key.split(), rare, idf) for key in ks]), lambda x: x) for _, _, ks in TEMPLATES
+        F.exists(F.array(*[_holds(words, key, rare, idf) for key in ks]), lambda x: x) for _, _, ks in templates
     ])
     scored = F.transform(
         _starts(rare, _index(texts, idf, 2)),

@@ -111,5 +111,51 @@ def test_a_notice_without_its_key_phrase_is_not_a_licence(spark, documents):
     assert rows[0]["found"] == []
 
 
+GNU = ("{} is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU {} as published by\n"
+       "# the Free Software Foundation{} either version {} of the License, or\n# (at your option) any later version.")
+OFFICIAL = [
+    ("gpl-2", "# " + GNU.format("This program", ";", "General Public License", ";", 2)),
+    ("gpl-3", "# " + GNU.format("Foo", ":", "General Public License", ",", 3)),
+    ("lgpl", "# " + GNU.format("This library", ";", "Lesser General Public\n# License", ";", 2.1)),
+    ("lgpl", "# " + GNU.format("This library", ":", "Lesser General Public License", ",", 3)),
+    ("agpl-3", "# " + GNU.format("This program", ":", "Affero General Public License", ",", 3)),
+    ("gpl-2", " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public"
+              " License version 2 as\n * published by the Free Software Foundation."),
+    ("gpl-3", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007"),
+    ("lgpl", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007"),
+    ("mpl-2", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not"),
+    ("epl-2", "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is"
+              " available at\nhttps://www.eclipse.org/legal/epl-2.0"),
+    ("epl-1", "This program and the accompanying materials\n * are made available under the terms of the Eclipse Public License v1.0\n"
+              " * which accompanies this distribution, and is available at"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and"
+             " redistribute it\nfreely, subject to the following restrictions:"),
+    ("artistic-2", "                       The Artistic License 2.0\n\n        Copyright (c) 2000-2006, The Perl Foundation."),
+    ("bsl-1", "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt"),
+]
+
+
+def test_official_notices(spark, documents):
+    docs = [(k, f"// file {k}\n{text}\nint main() {{}}") for k, (_, text) in enumerate(OFFICIAL)] + [(100 + k, "some free prose") for k in range(20)]
+    rows = licences.digest(licences.scan_licences(documents(docs))).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {k: label for k, (label, _) in enumerate(OFFICIAL)} | {100 + k: "" for k in range(20)}
+
+
+def test_the_same_notice_in_every_file(spark, documents):
+    rows = licences.digest(licences.scan_licences(documents([f"file{k} " + OFFICIAL[1][1] for k in range(3)]))).collect()
+    assert [(r["labels"], r["score"]) for r in rows] == [("gpl-3", 1.0)] * 3
+
+
+def test_own_templates(spark, documents):
+    docs = documents(["Use under the House Licence, 7th form.", "House Licence", OFFICIAL[1][1], "x"])
+    own = spark.createDataFrame([("house", "Use under the House Licence, 7th form", ["House-Licence"])], "label string, text string, keys array<string>")
+    only = [r["labels"] for r in licences.digest(licences.scan_licences(docs, own)).orderBy("doc_id").collect()]
+    assert only == ["house", "", "", ""]
+    added = licences.scan_licences(docs, [*licences.TEMPLATES, ("house", "use under the house licence 7th form", ["house licence"])])
+    assert [r["labels"] for r in licences.digest(added).orderBy("doc_id").collect()] == ["house", "", "gpl-3", ""]
+    with pytest.raises(ValueError):
+        licences.scan_licences(docs, [("house", "use under it", [])])
+
+
 def test_licences_of_no_documents(spark, documents):
     assert licences.digest(licences.scan_licences(documents([]))).count() == 0
