@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from ..ml.columns import GROUP
 from ..operators.validation import FIRST_DATA_LINE
 from ..schemas import RAW_INVOICE_COLUMNS, text_schema
+from ..session import shared_folder
 
 _FILE, _START, _ID = "__file", "__start", "__id"
 
@@ -46,9 +48,9 @@ def read_numbered(
 
     Rows are counted per file block and numbered inside it, so the numbering needs neither a
     sort nor a single task: the block counts (one row per block) are summed up and joined back.
-    Counts and rows must come from one reading, as a second one may cut the files elsewhere:
-    ``work`` is a folder to write the tagged rows to. Without it both are read in one plan,
-    which is safe only while the number of executors stays.
+    Counts and rows come from one reading, as a second one may cut the files elsewhere: the
+    tagged rows are written to ``work``, by default a new place in the shared folder, and
+    numbered from there.
     """
     rows = _scan(spark, multiline).csv(path)
     tagged = _clean_header(
@@ -59,9 +61,9 @@ def read_numbered(
             F.monotonically_increasing_id().alias(_ID),
         )
     )
-    if work is not None:
-        tagged.write.mode("overwrite").parquet(work)
-        tagged = spark.read.schema(tagged.schema).parquet(work)
+    work = work or f"{shared_folder(spark)}/tagged-{uuid.uuid4().hex}"
+    tagged.write.mode("overwrite").parquet(work)
+    tagged = spark.read.schema(tagged.schema).parquet(work)
     blocks = tagged.groupBy(_FILE, _START).agg(F.count("*").alias("n"), F.min(_ID).alias("first_id"))
     earlier = Window.orderBy(_FILE, _START).rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))

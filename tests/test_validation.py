@@ -85,6 +85,17 @@ def test_numbers_do_not_depend_on_how_a_file_is_cut(spark, tmp_path):
     assert found[0] == found[1] == {n: n + 2 for n in range(3000)}
 
 
+def test_rows_are_read_once_without_a_work_folder(spark, tmp_path):
+    """Rows and block counts come from the written rows, also where no folder is given."""
+    path = tmp_path / "a.csv"
+    path.write_text("key,text\n" + "\n".join(f"{n},value {n}" for n in range(300)) + "\n", encoding="utf-8")
+    for read in (csv_files.read_numbered, csv_files.read_clean_invoices, csv_files.read_upload, csv_files.read_payment_reports):
+        assert all(not f.endswith(".csv") for f in read(spark, str(path)).inputFiles())
+    numbered = csv_files.read_numbered(spark, str(path))
+    path.write_text("key,text\n", encoding="utf-8")
+    assert {int(r["key"]): r["row_number"] for r in numbered.collect()} == {n: n + 2 for n in range(300)}
+
+
 def test_limit_and_quoted_line_breaks(spark, tmp_path):
     path = tmp_path / "clean.csv"
     path.write_text('customer_id,invoice_id,note\nC1,1,"two\nlines"\nC2,2,"a ""b"""\nC3,3,\n', encoding="utf-8")
