@@ -5,8 +5,9 @@ beginnings. Each later model also gets the probabilities of the earlier ones. It
 out-of-fold probabilities, so it learns how far it can trust them on unseen documents; when
 scoring, the models fitted on all labelled rows supply them.
 
-Models are fitted on at most SAMPLE labelled documents, chosen by a hash of their ids. That
-bound is the only one: every document is scored over its whole text. Features are learnt, not
+Models are fitted on at most SAMPLE labelled documents, chosen by a hash of their ids, with at
+most FEATURES features a category, each in MIN_DOCUMENTS or more of them, in STEPS steps. These
+bound the fit alone: every document is scored over its whole text. Features are learnt, not
 hashed, so words of long documents can't collide with the words that matter. The features that
 tell most about each category are found first, by one aggregate over the sample; the fits then
 work on short rows, and scoring tasks get a few thousand weights.
