@@ -74,9 +74,44 @@ select w.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from words as w left join hit using (doc_id) left join items using (doc_id)"""
 
+_TERMS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), "
+    r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+_DIVERGENCE = f"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, {_TERMS} as w,
+             row_number() over () as r from documents),
+groups as (select distinct lang, source from d),
+gt as (select lang, source, term, count(*) as c, count(distinct r) as n
+       from (select lang, source, r, unnest(w) as term from d) as x group by all),
+kept as (select lang, term, sum(c) as lc from gt group by all having sum(n) >= 30),
+v as (select lang, count(*) as vv, sum(lc) as ln from kept group by lang),
+gn as (select g.lang, g.source, coalesce(sum(gt.c), 0) as nn
+       from groups as g left join (gt semi join kept using (lang, term)) as gt using (lang, source) group by all),
+p as (select g.lang, g.source, k.term, coalesce(gt.c, 0) as c,
+        1 + (1000000000::hugeint * (coalesce(gt.c, 0) + 5)) // (gn.nn + 5 * v.vv) as p
+      from groups as g join kept as k using (lang) join v using (lang) join gn using (lang, source)
+      left join gt using (lang, source, term)),
+q as (select lang, term, 1 + (1000000000::hugeint * (lc + 5)) // (ln + 5 * vv) as q from kept join v using (lang)),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value
+  from groups as a join groups as b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value
+             from p as x join p as y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) as s
+    on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (
+  select lang, source, term as item, p - q as value from p join q using (lang, term) where c > 0 and p > q)
+select lang, source, part, item, value::bigint as value, rank::integer as rank from (
+  select *, 'pair' as part, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select *, 'term' as part, row_number() over (partition by lang, source order by value desc, item) as rank from terms)
+where part = 'pair' or rank <= 50"""
+
 ORACLES = {
     "op1_near_dedup": _NEAR,
     "op2_substring_dedup": _REPEATS,
     "op7_embedding_dedup": _LINKS,
     "op9_decontamination": _LEAKS,
+    "op11_source_divergence": _DIVERGENCE,
 }
