@@ -108,10 +108,32 @@ select lang, source, part, item, value::bigint as value, rank::integer as rank f
   select *, 'term' as part, row_number() over (partition by lang, source order by value desc, item) as rank from terms)
 where part = 'pair' or rank <= 50"""
 
+_NEGATIVES = """
+with r as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, a.label as al, a.v as av, b.vec_id, b.label,
+    coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])), 0)::bigint as score
+  from (select * from r where vec_id % 100 = 0) as a, r as b),
+pos as (
+  select *, row_number() over (partition by anchor_id, al, av order by score desc, vec_id) as k
+  from scored where label = al and vec_id <> anchor_id qualify k <= 5),
+neg as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.al, p.av, p.k order by n.score desc, n.vec_id) as rank
+  from pos as p join scored as n on n.anchor_id = p.anchor_id and n.al = p.al and n.av = p.av and n.label <> p.al
+  where 80 * p.score <= 100 * n.score and n.score <= p.score qualify rank <= 5)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from neg"""
+
 ORACLES = {
     "op1_near_dedup": _NEAR,
     "op2_substring_dedup": _REPEATS,
     "op7_embedding_dedup": _LINKS,
     "op9_decontamination": _LEAKS,
     "op11_source_divergence": _DIVERGENCE,
+    "op12_hard_negatives": _NEGATIVES,
 }
