@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, embedding_links, licences, mixing, negatives, near_copies, repeats, token_counts, token_files, toxicity, transcripts
+from . import decontamination, divergence, embedding_links, html_text, licences, mixing, negatives, near_copies, repeats, token_counts, token_files, toxicity, transcripts
 from .common import table, work_path
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -87,4 +91,5 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_html_extraction": op13_html_extraction,
 }
