@@ -19,8 +19,8 @@ correction for the zero entries. No pair of postings is ever a row: the scatter
 inside tasks, over the rows Spark has already dealt by term, and only per-task accumulators,
 one value a group and peer, are summed by a shuffle.
 
-Counting is one pass: each document's words, sorted, are exploded with a mark on their first
-occurrence, and one aggregate by (lang, source, term), combined before the shuffle, gives
+Counting is one pass: each document's words, sorted, are exploded with their place, a word
+unlike the one before it is a first occurrence, and one aggregate by (lang, source, term), combined before the shuffle, gives
 occurrences and documents. All arithmetic is on integers (decimal(38,0) for p).
 """
 
@@ -75,13 +75,12 @@ def group_terms(docs: DataFrame) -> DataFrame:
     words = docs.select(
         F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
-        F.array_sort(terms(F.col("text"))).alias("_w"),
-    )
-    marked = F.transform("_w", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("_w", i - 1) != x)).alias("first")))
-    cells = words.select("lang", "source", F.explode_outer(marked).alias("_c"))
-    counted = cells.groupBy("lang", "source", F.col("_c.term").alias("term")).agg(
-        F.count("_c").alias("count"), F.count_if(F.col("_c.first")).alias("docs")
+        F.sort_array(terms(F.col("text"))).alias("_w"),
     )
+    cells = words.select("lang", "source", "_w", F.posexplode_outer("_w").alias("_at", "term"))
+    before = F.try_element_at("_w", F.when(F.col("_at") > 0, F.col("_at").cast("int")))
+    first = F.col("term").isNotNull() & (before.isNull() | (before != F.col("term")))
+    counted = cells.groupBy("lang", "source", "term").agg(F.count("term").alias("count"), F.count_if(first).alias("docs"))
     return stage(counted, "divergence-terms")
 
 
