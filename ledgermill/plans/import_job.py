@@ -42,11 +42,16 @@ def import_rows(store: TableStore, rows: DataFrame, as_of: str, run_at: Column,
     people, invoices = store.read("customers"), store.read("invoices")
     made_people = importing.merge_counts(staged, people, "customer_id").first()
     made_invoices = importing.merge_counts(staged, invoices, "invoice_id").first()
-    store.replace("invoices", importing.merge_invoices(invoices, staged, run_at))
-    named = importing.merge_customers(people, staged)
+    # Only the partitions that hold imported keys are read and rewritten.
+    store.merge("invoices", staged.select("invoice_id"), lambda now: importing.merge_invoices(now, staged, run_at), run)
     touched = staged.select("customer_id").distinct()
     summary = customers.invoice_summary(store.read("invoices"), touched)
-    store.replace("customers", importing.upsert(named, summary, "customer_id", CUSTOMERS))
+    store.merge(
+        "customers",
+        touched,
+        lambda now: importing.upsert(importing.merge_customers(now, staged), summary, "customer_id", CUSTOMERS),
+        run,
+    )
     return {
         "rows_seen": made_invoices["created"] + made_invoices["updated"],
         "customers_created": made_people["created"],

@@ -177,3 +177,43 @@ def test_streamed_files(spark, tmp_path):
     stream_imports(store, str(inbox), str(tmp_path / "fresh")).awaitTermination()
     again = {r["run"] for r in store.read_appended("rejects").collect()}
     assert not runs and len(again) == 2  # the fresh stream did not replace the first one's reject
+
+
+
+def _files(root):
+    """Data files of a table's latest snapshot by relative path, with their modification times."""
+    latest = sorted(p for p in root.iterdir() if p.name.startswith("v"))[-1]
+    return {str(f.relative_to(latest)): f.stat().st_mtime_ns for f in latest.rglob("*.parquet")}
+
+
+def _changed(before, after):
+    """Partition folders whose files were added, removed or rewritten."""
+    moved = set(before) ^ set(after) | {k for k in after if k in before and before[k] != after[k]}
+    return {k.split("/")[0] for k in moved}
+
+
+def test_one_key_import_rewrites_one_partition(spark, tmp_path):
+    from ledgermill.sources.tables import part_of
+
+    def partition(key):
+        return f"_part={spark.createDataFrame([(key,)], 'k string').select(part_of('k')).first()[0]}"
+
+    store = TableStore(spark, str(tmp_path / "store"))
+    lines = [unpaid(f"C{k}", k, 100 + k, "2020-05-15") for k in range(200)]
+    import_job.import_dataset(store, upload(tmp_path, "many.csv", *lines), run_at=at(1))
+    invoices, people = _files(tmp_path / "store/invoices"), _files(tmp_path / "store/customers")
+    assert len({k.split("/")[0] for k in invoices}) > 50  # the keys fill most of the 64 partitions
+    full = {r["invoice_id"]: r for r in store.read("invoices").collect()}
+
+    for repeat in range(2):  # the same import again rewrites the same partition to the same rows
+        import_job.import_dataset(store, upload(tmp_path, f"one{repeat}.csv", unpaid("C7", 7, 999, "2020-05-15")), run_at=at(2))
+        now_invoices, now_people = _files(tmp_path / "store/invoices"), _files(tmp_path / "store/customers")
+        assert _changed(invoices, now_invoices) == {partition("C7-O7")}
+        assert _changed(people, now_people) == {partition("C7")}
+        invoices, people = now_invoices, now_people
+        rows = {r["invoice_id"]: r for r in store.read("invoices").collect()}
+        assert set(rows) == set(full) and rows["C7-O7"]["invoice_amount"] == 999
+        assert all(rows[k] == full[k] for k in full if k != "C7-O7")
+    c7 = store.read("customers").filter("customer_id = 'C7'").first()
+    assert (c7["invoice_count"], c7["customer_name"]) == (1, "Acme Ltd")
+    assert store.read("customers").count() == 200
