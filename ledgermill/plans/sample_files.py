@@ -78,6 +78,17 @@ def file_reports(spark, sf_dir):
     )
 
 
+def file_quoted_reports(spark, sf_dir):
+    """Payment reports whose company field spans three lines, read back from CSV in many tasks."""
+    raw = raw_reports(spark, sf_dir)
+    company = F.concat_ws("\n", "Company", "Report Id", "Company number").alias("Company")
+    path = _as_csv(raw.select("Report Id", company, "Company number"), "quoted", "Report Id", "Company number")
+    read = csv_files.read_payment_reports(spark, path, multiline=True)
+    return read.select(
+        "original_row_index", F.col("Report Id").alias("report_id"), F.coalesce("Company", F.lit("")).alias("company")
+    )
+
+
 def file_payment_outputs(spark, sf_dir):
     """Rows of each written payment output."""
     where = _place(spark, "payments")
@@ -166,6 +177,7 @@ QUERIES = {
     "file_clean_rows": file_clean_rows,
     "file_first_rows": file_first_rows,
     "file_reports": file_reports,
+    "file_quoted_reports": file_quoted_reports,
     "file_payment_outputs": file_payment_outputs,
     "file_ml_ready": file_ml_ready,
     "file_profiles": file_profiles,

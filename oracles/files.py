@@ -30,6 +30,9 @@ order by line limit 25"""),
     "file_reports": enrichment._WITH + """
 select row_number() over (order by "Report Id", "Company number") - 1 as original_row_index, "Report Id" as report_id,
   coalesce("Company number", '') as company_number from raw""",
+    "file_quoted_reports": enrichment._WITH + """
+select row_number() over (order by "Report Id", "Company number") - 1 as original_row_index, "Report Id" as report_id,
+  coalesce(concat_ws(chr(10), "Company", "Report Id", "Company number"), '') as company from raw""",
     "file_payment_outputs": enrichment._WITH + """
 select 'reviewed' as output, count(*) as rows from flagged
 union all select 'cleaned', count(*) from flagged where not is_rejected
