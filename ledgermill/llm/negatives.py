@@ -1,24 +1,31 @@
 """Hard-negative mining by segment summary filtering.
 
-Rows are cut into segments: a label and the signs of a row's projections on fixed pseudo-random
-hyperplanes (the first SEGMENT_BITS of them make a segment, CELL_BITS a cell inside it), and a
-cell into blocks of about BLOCK_ROWS rows. Each block and segment keeps its mean and its
-deviation (the largest distance of a member from the mean). For an anchor a and a summary (m, r)
-every member's score lies in a.m -/+ |a| r: the mean's product plus or minus the deviations'.
-
-An anchor first meets every segment summary (the stated query set against all rows, in blocks).
-Lower bounds of whole segments prove that enough rows score at least tau; segments whose upper
-bound stays below tau go. Survivors are refined into their blocks the same way, and only rows of
-the blocks left are scored exactly, with integers. Negatives are mined alike, with the window of
-each positive's score in place of the top.
-
-Summaries are JVM-side aggregates over bounded blocks; no Python runs, and no block, anchor or
-segment is gathered in one task beyond its bounded size. Every step is a written table.
+Each vector is cut into segments of its dimensions, and every segment keeps its mean and its
+deviation. For one segment of length L, sum a_i x_i = L (mu_a mu_x + cov), and by Cauchy-Schwarz
+|cov| <= sd_a sd_x, so the means' product plus or minus the deviations' product bounds the
+segment's share of the score; summed over segments it bounds the score. The bounds are refined
+hierarchically (LEVELS: 1, then 4, then 16 segments): a pair whose upper bound falls below what
+other rows already guarantee (their lower bounds) is dropped at the coarsest level that shows
+it, and only the pairs left are scored exactly, with integers. The bounds of a chunk of queries
+against a block of rows are matrix products of the summaries, and the exact scores one product
+over the rows that still have a pair.
+
+The anchors (every vec_id divisible by 100) are the stated query set; they meet all rows in
+blocks. Rows are dealt into row blocks of about ROW_BLOCK rows and anchors into anchor blocks
+of about ANCHOR_BLOCK; each pair of blocks is one group of a cogroup, so no task holds more
+than one block of each, and each group returns at most the first few rows of each of its
+anchors. A window over those few rows an anchor keeps the first ones overall. Positives are
+found in one pass over the rows and negatives, in the windows of the positives' scores, in a
+second. Work inside a group runs in numpy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -29,34 +36,24 @@ LOW, HIGH = 80, 100  # fixed: LOW * positive_score <= HIGH * negative_score <= H
 SCALE = 256  # fixed: components become floor(SCALE * x)
 ANCHOR_EVERY = 100  # fixed: anchors are rows whose vec_id is divisible by it
 RELABEL_EVERY = 7  # fixed: where vec_id is divisible by it, label becomes (label + 1) % 10
-SEGMENT_BITS = 4  # hyperplanes of a segment
-CELL_BITS = 8  # hyperplanes of a cell (the first SEGMENT_BITS of them make the segment)
-BLOCK_ROWS = 512  # a cell is dealt into blocks of about so many rows
+LEVELS = (1, 4, 16)  # segments of the summaries, coarse to fine
+ROW_BLOCK = 8192  # rows of a block
+ANCHOR_BLOCK = 256  # anchors of a block
+CHUNK = 64  # queries scored at once inside a block: bounds a task's matrices to CHUNK x ROW_BLOCK
 SAFETY = 1e-9  # relative slack of the bounds computed in double precision
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
-
-
-def _dot(left: Column, right: Column, zero) -> Column:
-    """Inner product over the common positions; a missing component counts as 0."""
-    start = F.lit(zero).cast("long") if isinstance(zero, int) else F.lit(zero)
-    products = F.zip_with(left, right, lambda x, y: F.coalesce(x * y, start))
-    return F.aggregate(products, start, lambda acc, x: acc + x)
-
-
-def _signs(j: int) -> Column:
-    """The j-th hyperplane, +1 or -1 in each position of v."""
-    return F.transform("v", lambda x, i: F.lit(1) - F.lit(2) * F.pmod(F.xxhash64(F.lit(j), i), F.lit(2)))
+FOUND = "anchor_id long, akey long, k int, vec_id long, score long"
 
 
 def prepared(embeddings: DataFrame) -> DataFrame:
-    """vec_id, label, v (integer components), norm and cell of every row that takes part.
+    """vec_id, label and v (integer components) of every row that takes part.
 
     Rows with a null label, a null vector, or a null or non-finite component take no part.
     Rows equal in vec_id, label and integer vector count once.
     """
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     label = F.when(F.col("vec_id") % RELABEL_EVERY == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    rows = (
+    return (
         embeddings.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull() & fine)
         .select(
             F.col("vec_id").cast("long").alias("vec_id"),
@@ -65,90 +62,163 @@ def prepared(embeddings: DataFrame) -> DataFrame:
         )
         .dropDuplicates(["vec_id", "label", "v"])
     )
-    projections = [
-        _dot(F.col("v"), _signs(j).cast("array<long>"), 0)
-        for j in range(CELL_BITS)
-    ]
-    cell = sum((F.when(p >= 0, F.lit(1 << j)).otherwise(F.lit(0)) for j, p in enumerate(projections)), F.lit(0))
-    norm = F.sqrt(_dot(F.col("v").cast("array<double>"), F.col("v").cast("array<double>"), 0.0))
-    return rows.select("vec_id", "label", "v", norm.alias("norm"), cell.alias("cell"))
-
-
-def _summary(parts: Column, dims: Column) -> tuple[Column, Column]:
-    """Mean and deviation of parts, an array of (n, mean, radius); a row is (1, v, 0)."""
-    total = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-    mean = F.transform(
-        F.sequence(F.lit(0), dims - 1),
-        lambda i: F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x["n"] * F.coalesce(F.get(x["mean"], i), F.lit(0.0))) / total,
-    )
-    return mean, total
-
-
-def _radius(parts: Column, mean: Column) -> Column:
-    far = F.transform(
-        parts,
-        lambda x: F.sqrt(
-            F.aggregate(
-                F.zip_with(x["mean"], mean, lambda p, q: F.pow(F.coalesce(p, F.lit(0.0)) - F.coalesce(q, F.lit(0.0)), 2)),
-                F.lit(0.0),
-                lambda acc, y: acc + y,
-            )
-        )
-        + x["radius"],
-    )
-    return F.coalesce(F.array_max(far), F.lit(0.0))
 
 
-def summaries(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows dealt to blocks, blocks (label, cell, chunk) and segments (label, top) with n, mean, radius.
-
-    Numbering the segments is one small window: their count is labels x 2^SEGMENT_BITS at most.
+def _matrix(vectors) -> np.ndarray:
+    """Vectors of a group as one integer matrix, shorter ones padded with zeros."""
+    width = max((len(v) for v in vectors), default=0)
+    out = np.zeros((len(vectors), width), np.int64)
+    for k, v in enumerate(vectors):
+        out[k, : len(v)] = v
+    return out
+
+
+def summaries(X: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means and deviations of each vector's segments, and the segments' lengths."""
+    parts = [p for p in np.array_split(np.arange(X.shape[1]), segments) if len(p)]
+    lengths = np.array([len(p) for p in parts], float)
+    mean = np.stack([X[:, p].mean(1) for p in parts], 1) if parts else np.zeros((len(X), 0))
+    dev = np.stack([X[:, p].std(1) for p in parts], 1) if parts else np.zeros((len(X), 0))
+    return mean, dev, lengths
+
+
+class _Bounds:
+    """Score bounds of all anchor-row pairs of a chunk at each level of segments, as matrices."""
+
+    def __init__(self, A: np.ndarray, X: np.ndarray):
+        width = max(A.shape[1], X.shape[1])
+        self.A = np.pad(A, ((0, 0), (0, width - A.shape[1])))
+        self.X = np.pad(X, ((0, 0), (0, width - X.shape[1])))
+        self.levels = [(summaries(self.A, s), summaries(self.X, s)) for s in LEVELS]
+
+    def level(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of every pair (anchors x rows) at level k."""
+        (ma, sa, length), (mx, sx, _) = self.levels[k]
+        centre, spread = (ma * length) @ mx.T, (sa * length) @ sx.T
+        margin = (np.abs(centre) + spread) * SAFETY + 1.0
+        return centre - spread - margin, centre + spread + margin
+
+    def exact(self, alive: np.ndarray) -> np.ndarray:
+        """Exact scores of the pairs alive (others 0); only rows with a live pair are scored.
+
+        Products in double precision are exact while |score| < 2^53 (64 components of at most
+        2^20 in size each); past that the integers are multiplied as integers.
+        """
+        columns = np.flatnonzero(alive.any(0))
+        scores = np.zeros(alive.shape, np.int64)
+        if len(columns):
+            big = max(int(np.abs(self.A).max(initial=0)), 1) * max(int(np.abs(self.X[columns]).max(initial=0)), 1)
+            if big * self.A.shape[1] < 2**53:
+                part = np.rint(self.A.astype(np.float64) @ self.X[columns].T.astype(np.float64)).astype(np.int64)
+            else:
+                part = self.A @ self.X[columns].T
+            scores[:, columns] = part
+        return scores
+
+
+def _kth(values: np.ndarray, eligible: np.ndarray, k: int) -> np.ndarray:
+    """Per row of values, the k-th largest eligible value; -inf where fewer are eligible."""
+    masked = np.where(eligible, values, -np.inf)
+    if masked.shape[1] < k:
+        return np.full(len(masked), -np.inf)
+    return -np.partition(-masked, k - 1, axis=1)[:, k - 1]
+
+
+def _first(anchor: np.ndarray, score: np.ndarray, vec: np.ndarray, null: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the first k pairs of each anchor: score descending, vec_id ascending, null last."""
+    order = np.lexsort((vec, null, -score, anchor))
+    anchor = anchor[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(anchor)) + 1]
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return order[place < k]
+
+
+def _chunked(find):
+    """Runs ``find`` on the queries of a block CHUNK at a time, with the block's rows made once."""
+
+    def run(rows: pd.DataFrame, anchors: pd.DataFrame, chunk: int = CHUNK) -> pd.DataFrame:
+        if rows.empty or anchors.empty:
+            return pd.DataFrame({c: [] for c in ("anchor_id", "akey", "k", "vec_id", "score")})
+        X = _matrix(rows["v"])
+        parts = [find(rows, X, anchors.iloc[k : k + chunk].reset_index(drop=True)) for k in range(0, len(anchors), chunk)]
+        return pd.concat(parts, ignore_index=True)
+
+    return run
+
+
+@_chunked
+def _positives(rows: pd.DataFrame, X: np.ndarray, anchors: pd.DataFrame) -> pd.DataFrame:
+    """First POSITIVES rows of each anchor in this block: same label, another (non-null) vec_id.
+
+    At each level the POSITIVES-th largest lower bound of an anchor's pairs is a score that
+    many rows surely reach; pairs whose upper bound stays below it go.
+    """
+    bounds = _Bounds(_matrix(anchors["v"]), X)
+    ids = rows["vid"].to_numpy(np.int64)
+    other = ~rows["nid"].to_numpy(bool)[None, :] & (ids[None, :] != anchors["anchor_id"].to_numpy(np.int64)[:, None])
+    alive = other & (rows["label"].to_numpy()[None, :] == anchors["a_label"].to_numpy()[:, None])
+    tau = np.full(len(anchors), -np.inf)
+    for level in range(len(LEVELS)):
+        lb, ub = bounds.level(level)
+        tau = np.maximum(tau, _kth(lb, alive, POSITIVES))
+        alive &= ub >= tau[:, None]
+    score = bounds.exact(alive)
+    a, x = np.nonzero(alive)
+    pick = _first(a, score[a, x], ids[x], np.zeros(len(a), bool), POSITIVES)
+    return pd.DataFrame({
+        "anchor_id": anchors["anchor_id"].to_numpy()[a[pick]], "akey": anchors["akey"].to_numpy()[a[pick]],
+        "k": np.zeros(len(pick), np.int32), "vec_id": ids[x[pick]], "score": score[a[pick], x[pick]],
+    })
+
+
+@_chunked
+def _negatives(rows: pd.DataFrame, X: np.ndarray, anchors: pd.DataFrame) -> pd.DataFrame:
+    """First NEGATIVES rows of each anchor's positive in this block: another label, in its window.
+
+    anchors has one row per (anchor, positive k) with its score ps. A pair stays while its
+    bounds meet the window [LOW/HIGH ps, ps] and its upper bound reaches the NEGATIVES-th
+    largest lower bound of pairs surely inside the window.
     """
-    counts = rows.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("_chunks"))
-    dealt = rows.join(counts, ["label", "cell"]).withColumn(
-        "chunk", F.pmod(F.xxhash64("vec_id", "v"), F.col("_chunks"))
-    ).drop("_chunks")
-    dealt = stage(dealt, "negatives-rows")
-
-    def summarise(df, keys, parts, label):
-        grouped = df.groupBy(*keys).agg(F.collect_list(parts).alias("_parts"), F.max(F.size(parts["mean"])).alias("_dims"))
-        mean, total = _summary(F.col("_parts"), F.col("_dims"))
-        out = grouped.select(*keys, total.alias("n"), mean.alias("mean"), "_parts")
-        return stage(out.select(*keys, "n", "mean", _radius(F.col("_parts"), F.col("mean")).alias("radius")), label)
-
-    one = F.struct(F.lit(1).cast("long").alias("n"), F.col("v").cast("array<double>").alias("mean"), F.lit(0.0).alias("radius"))
-    blocks = summarise(dealt, ["label", "cell", "chunk"], one, "negatives-blocks")
-    part = F.struct("n", "mean", "radius")
-    segments = summarise(blocks.withColumn("top", F.col("cell") % (1 << SEGMENT_BITS)), ["label", "top"], part, "negatives-segments")
-    return dealt, blocks, segments
-
-
-def _bounds(df: DataFrame) -> DataFrame:
-    """Adds lb, ub: every member of the summary (mean, radius) scores between them with the anchor."""
-    dot = _dot(F.col("av").cast("array<double>"), F.col("mean"), 0.0)
-    slack = F.col("an") * F.col("radius")
-    margin = (F.abs(dot) + slack) * SAFETY + 1e-6
-    return df.withColumn("lb", dot - slack - margin).withColumn("ub", dot + slack + margin)
-
-
-def _top_kept(df: DataFrame, keys: list[str], need: Column) -> DataFrame:
-    """Summaries whose upper bound reaches tau: whole summaries with lb >= tau hold ``need`` rows."""
-    ordered = Window.partitionBy(*keys).orderBy(F.col("lb").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    counted = df.withColumn("_cum", F.sum("n").over(ordered))
-    tau = F.max(F.when(F.col("_cum") >= need, F.col("lb"))).over(every)
-    return counted.withColumn("_tau", tau).filter(F.col("_tau").isNull() | (F.col("ub") >= F.col("_tau"))).drop("_cum", "_tau")
-
-
-def _window_kept(df: DataFrame, keys: list[str], need: int) -> DataFrame:
-    """Summaries that can hold one of the first ``need`` rows in [LOW/HIGH ps, ps]."""
-    lo, hi = F.col("ps") * (LOW / HIGH), F.col("ps").cast("double")
-    touching = df.filter((F.col("ps") >= 0) & (F.col("ub") >= lo) & (F.col("lb") <= hi))
-    inside = (F.col("lb") >= lo) & (F.col("ub") <= hi)
-    ordered = Window.partitionBy(*keys).orderBy(F.col("lb").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counted = touching.withColumn("_cum", F.sum(F.when(inside, F.col("n")).otherwise(F.lit(0))).over(ordered))
-    tau = F.max(F.when(inside & (F.col("_cum") >= need), F.col("lb"))).over(Window.partitionBy(*keys))
-    return counted.withColumn("_tau", tau).filter(F.col("_tau").isNull() | (F.col("ub") >= F.col("_tau"))).drop("_cum", "_tau")
+    bounds = _Bounds(_matrix(anchors["v"]), X)
+    ps = anchors["ps"].to_numpy(np.int64)
+    low, high = (ps * (LOW / HIGH))[:, None], ps.astype(float)[:, None]
+    alive = (rows["label"].to_numpy()[None, :] != anchors["a_label"].to_numpy()[:, None]) & (ps[:, None] >= 0)
+    tau = np.full(len(anchors), -np.inf)
+    for level in range(len(LEVELS)):
+        lb, ub = bounds.level(level)
+        alive &= (ub >= low) & (lb <= high)
+        tau = np.maximum(tau, _kth(lb, alive & (lb >= low) & (ub <= high), NEGATIVES))
+        alive &= ub >= tau[:, None]
+    score = bounds.exact(alive)
+    alive &= (LOW * ps[:, None] <= HIGH * score) & (score <= ps[:, None])
+    a, x = np.nonzero(alive)
+    vec, null = rows["vid"].to_numpy(np.int64)[x], rows["nid"].to_numpy(bool)[x]
+    pick = _first(a, score[a, x], vec, null, NEGATIVES)
+    return pd.DataFrame({
+        "anchor_id": anchors["anchor_id"].to_numpy()[a[pick]], "akey": anchors["akey"].to_numpy()[a[pick]],
+        "k": anchors["k"].to_numpy()[a[pick]],
+        "vec_id": pd.array([None if n else int(v) for v, n in zip(vec[pick], null[pick])], dtype="Int64"),
+        "score": score[a[pick], x[pick]],
+    })
+
+
+def _blocks(df: DataFrame, size: int, label: str) -> tuple[DataFrame, int]:
+    """Deals rows into blocks of about ``size`` by a hash of all their columns."""
+    blocks = max(1, math.ceil(df.count() / size))
+    return df.withColumn(label, F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")), blocks
+
+
+def _meet(rows: DataFrame, anchors: DataFrame, find, row_blocks: int, anchor_blocks: int) -> DataFrame:
+    """Every anchor block against every row block: each row goes to all anchor blocks, each anchor
+    to all row blocks, and each (anchor block, row block) is one group."""
+    spread_rows = rows.withColumn("ab", F.explode(F.sequence(F.lit(0), F.lit(anchor_blocks - 1))))
+    spread_anchors = anchors.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    chunk = CHUNK
+    return (
+        spread_rows.groupBy("ab", "rb")
+        .cogroup(spread_anchors.groupBy("ab", "rb"))
+        .applyInPandas(lambda r, a: find(r, a, chunk), FOUND)
+    )
 
 
 def mine(embeddings: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
@@ -158,78 +228,45 @@ def mine(embeddings: DataFrame, positives: int = POSITIVES, negatives: int = NEG
     names. Rows with a null label, a null vector, or a null or non-finite component take no part;
     an empty vector does and scores 0. Where vec_id is divisible by 7, label first becomes
     (label + 1) % 10. Components become floor(256 x), x as double; a row's score is its integer
-    inner product with the anchor (over common positions if lengths differ). Higher scores come
-    first, ties by smaller vec_id, null last. Anchors are rows whose vec_id is divisible by 100;
-    an anchor's positives are its first ``positives`` rows of the same label and another vec_id
-    (all, if fewer). For each anchor and positive the first ``negatives`` rows of another label
-    with 80 ps <= 100 ns <= 100 ps (all, if fewer; none if ps < 0).
+    inner product with the anchor (shorter vectors padded with zeros). Higher scores come first,
+    ties by smaller vec_id, null last. Anchors are rows whose vec_id is divisible by 100; an
+    anchor's positives are its first 5 rows of the same label and another, non-null vec_id (all,
+    if fewer). For each anchor and positive the first 5 rows of another label with
+    80 ps <= 100 ns <= 100 ps (all, if fewer; none if ps < 0).
 
     Returns anchor_id, positive_id, rank (from 1 among those returned), negative_id,
     positive_score, negative_score. Rows equal in vec_id, label and integer vector count once;
     two distinct anchor rows of one vec_id each give their own rows. Empty input: no rows.
     """
-    rows = stage(prepared(embeddings), "negatives-prepared")
-    dealt, blocks, segments = summaries(rows)
-    spark = rows.sparkSession
-    numbered = stage(
-        segments.withColumn("s", (F.row_number().over(Window.orderBy("label", "top")) - 1).cast("int")),
-        "negatives-numbered",
+    spark = embeddings.sparkSession
+    rows = stage(prepared(embeddings), "negatives-rows")
+    rows = rows.select("*", F.coalesce("vec_id", F.lit(0)).alias("vid"), F.col("vec_id").isNull().alias("nid"))
+    anchors = rows.filter(F.col("vec_id") % ANCHOR_EVERY == 0).select(
+        F.col("vec_id").alias("anchor_id"), F.col("label").alias("a_label"), "v", F.xxhash64("label", "v").alias("akey")
     )
-    count = numbered.count()
-    if not count:
+    anchors, anchor_blocks = _blocks(stage(anchors, "negatives-anchors"), ANCHOR_BLOCK, "ab")
+    if anchors.isEmpty():
         return spark.createDataFrame([], RESULT)
-    anchors = dealt.filter(F.col("vec_id") % ANCHOR_EVERY == 0).select(
-        F.col("vec_id").alias("anchor_id"), F.col("label").alias("a_label"), F.col("v").alias("av"),
-        F.col("norm").alias("an"), F.xxhash64("label", "v").alias("akey"),
-    )
-    same_id = dealt.groupBy(F.col("vec_id").alias("anchor_id"), F.col("label").alias("a_label")).agg(F.count("*").alias("_same"))
-    anchors = stage(anchors.join(same_id, ["anchor_id", "a_label"]), "negatives-anchors")
+    rows, row_blocks = _blocks(rows, ROW_BLOCK, "rb")
     who = ["anchor_id", "akey"]
 
-    # Every anchor against every segment summary.
-    met = anchors.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    met = stage(_bounds(met.join(numbered, "s")).drop("mean", "av"), "negatives-met")
-
-    def refine(kept_segments: DataFrame, keep, extra: list[str]) -> DataFrame:
-        """The blocks of kept segments, bounded and kept alike, with the anchor's vector."""
-        inner = kept_segments.select(*who, *extra, "label", "top").join(
-            blocks.withColumn("top", F.col("cell") % (1 << SEGMENT_BITS)), ["label", "top"]
-        )
-        inner = inner.join(anchors.select(*who, "av", "an"), who)
-        return stage(keep(_bounds(inner).drop("mean", "av")), "negatives-kept")
-
-    def exact(kept_blocks: DataFrame) -> DataFrame:
-        """Exact scores of the rows of kept blocks with their anchor."""
-        pairs = kept_blocks.select(*who, "label", "cell", "chunk").distinct().join(dealt, ["label", "cell", "chunk"])
-        pairs = pairs.join(anchors.select(*who, "a_label", "av"), who)
-        return pairs.select(*who, "a_label", "vec_id", "label", _dot(F.col("av"), F.col("v"), 0).cast("long").alias("score"))
-
-    need = F.lit(positives) + F.col("_same")
-    first = _top_kept(met.filter(F.col("label") == F.col("a_label")), who, need)
-    kept = refine(first, lambda df: _top_kept(df.join(anchors.select(*who, "_same"), who), who, need), [])
+    found = _meet(rows, anchors, _positives, row_blocks, anchor_blocks)
     best = Window.partitionBy(*who).orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    chosen = (
-        exact(kept)
-        .filter(F.col("vec_id") != F.col("anchor_id"))
-        .withColumn("_k", F.row_number().over(best))
-        .filter(F.col("_k") <= positives)
-        .select(*who, F.col("vec_id").alias("positive_id"), F.col("score").alias("ps"), "_k")
+    chosen = stage(
+        found.withColumn("k", F.row_number().over(best).cast("int")).filter(F.col("k") <= positives)
+        .select(*who, "k", F.col("vec_id").alias("positive_id"), F.col("score").alias("ps")),
+        "negatives-positives",
     )
-    chosen = stage(chosen, "negatives-positives")
-
-    by_positive = [*who, "_k"]
-    first = _window_kept(met.filter(F.col("label") != F.col("a_label")).join(chosen, who), by_positive, negatives)
-    kept = refine(first, lambda df: _window_kept(df, by_positive, negatives), ["_k", "ps"])
-    scored = exact(kept).filter(F.col("label") != F.col("a_label"))
-    window = (F.lit(LOW) * F.col("ps") <= F.lit(HIGH) * F.col("score")) & (F.col("score") <= F.col("ps"))
-    ranked = Window.partitionBy(*by_positive).orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+
+    queries = anchors.join(chosen, who)
+    found = _meet(rows, queries, _negatives, row_blocks, anchor_blocks)
+    ranked = Window.partitionBy(*who, "k").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return (
-        scored.join(chosen, who)
-        .filter(window)
-        .withColumn("rank", F.row_number().over(ranked))
+        found.withColumn("rank", F.row_number().over(ranked).cast("int"))
         .filter(F.col("rank") <= negatives)
+        .join(chosen, [*who, "k"])
         .select(
-            "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"),
+            "anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"),
             F.col("ps").alias("positive_score"), F.col("score").alias("negative_score"),
         )
     )

@@ -33,7 +33,7 @@ def expected(rows):
     return sorted(out, key=repr)
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     centres = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(4)]
     rows = []
@@ -51,6 +51,11 @@ def test_against_brute_force(spark):
     got = sorted((tuple(r) for r in negatives.mine(df).collect()), key=repr)
     assert got == expected(rows)
     assert len({(r[0], r[1]) for r in got}) >= 20
+    # Many row blocks, anchor blocks and chunks give the same rows.
+    monkeypatch.setattr(negatives, "ROW_BLOCK", 97)
+    monkeypatch.setattr(negatives, "ANCHOR_BLOCK", 3)
+    monkeypatch.setattr(negatives, "CHUNK", 2)
+    assert sorted((tuple(r) for r in negatives.mine(df).collect()), key=repr) == got
 
 
 def test_empty_and_all_invalid(spark):
