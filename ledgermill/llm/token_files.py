@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,17 +68,30 @@ def _numbers(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, np.dtype(f"<u{len(blob) // n}" if n else "<u2"))
 
 
+def _all_numbers(blobs: pa.Array, sizes: pa.Array) -> np.ndarray:
+    """The ids of all rows of a batch at once, from the binary column's data buffer.
+
+    All rows of one run have ids of one width (the vocabulary's); null rows hold none.
+    """
+    n = int(pa.compute.sum(sizes).as_py() or 0)
+    if not n:
+        return np.zeros(0, np.int64)
+    wide = np.int64 if pa.types.is_large_binary(blobs.type) else np.int32
+    offsets = np.frombuffer(blobs.buffers()[1], wide)[blobs.offset : blobs.offset + len(blobs) + 1]
+    data = np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(data.tobytes(), np.dtype(f"<u{len(data) // n}"))
+
+
 def id_counts(encoded: DataFrame) -> DataFrame:
     """How often each id occurs in all documents: id, n. Each task adds up its own ids first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                here = np.bincount(_numbers(blob.as_py(), n))
-                if len(here) > len(total):
-                    total = np.pad(total, (0, len(here) - len(total)))
-                total[: len(here)] += here
+            here = np.bincount(_all_numbers(batch.column(0), batch.column(1)))
+            if len(here) > len(total):
+                total = np.pad(total, (0, len(here) - len(total)))
+            total[: len(here)] += here
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())],
                                          names=["id", "n"])
@@ -258,7 +272,7 @@ def write_token_files(encoded: DataFrame, path: str) -> None:
 def _coded(batches: Iterator[pa.RecordBatch], code: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = batch.column("n_tokens")
-        blobs = [_numbers(x.as_py(), n) for x, n in zip(batch.column("ids"), sizes.to_pylist(), strict=True)]
+        blobs = [_numbers(x, n) for x, n in zip(batch.column("ids").to_pylist(), sizes.to_pylist(), strict=True)]
         done = [pair for part in _slices(blobs) for pair in encode_slice(part, code, length)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), sizes, pa.array([p for p, _ in done], pa.binary()), pa.array([c for _, c in done], pa.binary())],
@@ -279,19 +293,20 @@ def _gather_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             names=["part", "block", "first", "n_ids", "doc_ids", "doc_tokens", "checkpoints", "payload"],
         )
 
-    id_type = None
+    id_type, sum_ids = None, 0
     for batch in batches:
         id_type = batch.column("doc_id").type
-        for row in zip(*[batch.column(n) for n in ("doc_id", "n_tokens", "payload", "checkpoints")], strict=True):
-            doc, n, bits, lane_marks = (x.as_py() for x in row)
+        columns = [batch.column(n).to_pylist() for n in ("doc_id", "n_tokens", "payload", "checkpoints")]
+        for doc, n, bits, lane_marks in zip(*columns, strict=True):
             # 32-bit bit offsets end at 512 MB, far above a block.
-            if ids and (sum_ids := sum(sizes)) and sum_ids + n > BLOCK_IDS:
+            if ids and sum_ids and sum_ids + n > BLOCK_IDS:
                 yield closed(id_type)
                 first += sum_ids
                 block += 1
-                ids, sizes, marks, payload, n_bytes = [], [], [], [], 0
+                ids, sizes, marks, payload, n_bytes, sum_ids = [], [], [], [], 0, 0
             ids.append(doc)
             sizes.append(n)
+            sum_ids += n
             marks.append((np.frombuffer(lane_marks, "<u4") + np.uint32(8 * n_bytes)).astype("<u4").tobytes())
             payload.append(bits)
             n_bytes += len(bits)
