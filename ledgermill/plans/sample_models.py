@@ -111,8 +111,8 @@ def fill_values(spark, sf_dir):
     """What the preprocessing learns from the training side: medians, modes, means after filling."""
     rows = columns.training_rows(model_rows(spark, sf_dir))
     train, _ = split.split_by_company(rows, columns.GROUP)
-    stages = models.preprocessor(train).fit(train).stages
-    medians = stages[0].surrogateDF.first().asDict()
+    medians = models.exact_medians(train, columns.NUMERIC_FEATURES)
+    stages = models.preprocessor(train, medians).fit(train).stages
     means = dict(zip(columns.NUMERIC_FEATURES, stages[2].mean.toArray().tolist(), strict=True))
     modes = models.most_frequent(train, columns.CATEGORICAL_FEATURES)
     found = [(name, float(medians[name]), round(means[name], 6), None) for name in columns.NUMERIC_FEATURES]

@@ -167,3 +167,31 @@ def test_bands(spark):
     rows = frame(spark, [(0, 0.8), (0, 0.4), (0, 0.1)]).select(
         scoring.probability_band(F.col("score"), 0.5).alias("b"))
     assert [r["b"] for r in rows.collect()] == ["High", "Medium", "Low"]
+
+
+def test_exact_medians_by_counting(spark, monkeypatch):
+    import math
+    import random
+
+    from ledgermill.ml import models as m
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(3001):
+        rows.append((
+            rng.gauss(0, 1e6) if k % 3 else 7.0,  # a third of the rows hold one value
+            float(rng.randint(-5, 5)) if k % 10 else None,
+            float("nan") if k % 4 == 0 else rng.expovariate(1e-3),
+            None,
+            float(k),
+        ))
+    rows = rows[:-1] + [rows[5]]  # an even count and a repeated row
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    monkeypatch.setattr(m, "FINAL_VALUES", 40)  # several rounds of narrowing
+
+    def lower_median(values):
+        values = sorted(v for v in values if v is not None and not math.isnan(v))
+        return values[(len(values) + 1) // 2 - 1] if values else None
+
+    got = m.exact_medians(df, list("abcde"))
+    assert got == {n: lower_median([r[i] for r in rows]) for i, n in enumerate("abcde")}
