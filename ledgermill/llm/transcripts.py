@@ -329,7 +329,7 @@ def conversation_lines(conversations: DataFrame) -> DataFrame:
 
     Each conversation has one style of markers; every MISSING-th turn in 100 lost its marker. A
     blank line ends a turn. A null text is an empty turn, a null turn comes first, and turns of
-    one number follow each other by role and text.
+    one number follow each other by role and text; equal rows follow each other whole.
     """
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
     number = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")), F.lit(0)).cast("int")
@@ -337,8 +337,12 @@ def conversation_lines(conversations: DataFrame) -> DataFrame:
     lost = F.pmod(F.xxhash64("conv_id", "turn", F.lit("marker")), F.lit(100)) < MISSING
     marker = F.when(lost, "").otherwise(F.get(F.get(markers, style), number))
     text = F.concat(marker, F.coalesce("text", F.lit("")), F.lit("\n"))
-    split = conversations.select("conv_id", "turn", "role", "text", F.posexplode(F.split(text, "\n")).alias("k", "line"))
-    place = F.struct("turn", "role", F.xxhash64("text").alias("h"), "k")
+    # Each row gets an id before its lines are exploded, so the lines of equal rows follow each
+    # other whole instead of interleaving. Equal rows give equal lines, so which comes first
+    # changes nothing, and no shuffle is needed.
+    rows = conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("_copy"))
+    split = rows.select("conv_id", "turn", "role", "text", "_copy", F.posexplode(F.split(text, "\n")).alias("k", "line"))
+    place = F.struct("turn", "role", F.xxhash64("text").alias("h"), F.hash("text").alias("h2"), "_copy", "k")
     return split.select("conv_id", place.alias("place"), "line", "role", (F.col("k") == 0).alias("begins"))
 
 

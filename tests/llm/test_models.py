@@ -122,6 +122,20 @@ def test_odd_conversations(spark):
     assert transcripts.format_conversations(spark.createDataFrame([], CONVERSATIONS)).count() == 0
 
 
+def test_repeated_rows_stay_whole(spark):
+    """Two equal rows are two turns of the same text one after the other, never interleaved lines."""
+    rows = [(conv, 0, "user", "hello there\nsecond line") for conv in range(40) for _ in range(2)]
+    rows += [(conv, 1, "assistant", "fine.") for conv in range(40)]
+    lines = transcripts.conversation_lines(spark.createDataFrame(rows, CONVERSATIONS)).collect()
+    by_conv = {}
+    for row in sorted(lines, key=lambda r: (r["conv_id"], r["place"])):
+        by_conv.setdefault(row["conv_id"], []).append(transcripts.without_marker(row["line"]))
+    for got in by_conv.values():
+        assert got[:6] == ["hello there", "second line", "", "hello there", "second line", ""]
+    turns = transcripts.format_conversations(spark.createDataFrame(rows, CONVERSATIONS)).collect()
+    assert not any("hello there\nhello there" in (t["text"] or "") for t in turns)
+
+
 @pytest.mark.parametrize("segment", [2000, 3])
 def test_blank_lines_inside_a_turn_are_kept(spark, segment):
     answer = "First paragraph.\n\nSecond one,\nof two lines.\n\n\n```\nif x:\n    \n\n    y = 1  \n```\n\nLast."
