@@ -77,3 +77,16 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(packed)).alias("_settled")).select(
         *df.columns, *[F.col(f"_settled.{name}").alias(name) for name in columns]
     )
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names for a job's own columns that clash with none of ``df``'s, compared as Spark does
+    (without case): each name gets underscores in front until it is free."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_word_count, plain_words, settled, stage
+from .common import plain_word_count, plain_words, private, settled, stage
 
 WINDOW = 10
 # Up to so many terms their list travels inside the plan; beyond it terms are joined.
@@ -205,8 +205,9 @@ def digest(result: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any benchmark window, with their columns."""
-    hits = contaminated_words(docs, items, window).select(F.col("doc_id").alias("_doc"), F.col("_text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", text_key())
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key"))
+    """The documents without any benchmark window, with their columns, whatever their names."""
+    doc, key, here = private(docs, "_doc", "_key", "_text_key")
+    hits = contaminated_words(docs, items, window).select(F.col("doc_id").alias(doc), F.col("_text_key").alias(key))
+    keyed = docs.withColumn(here, text_key())
+    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.col(here) == F.col(key))
     return keyed.join(hits, same, "left_anti").select(*docs.columns)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spaced_word_count, stage
+from .common import private, spaced_word_count, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)  # fixed: repeat over the sources in code point order, null last
 MAX_COPIES = 3
@@ -222,20 +222,21 @@ def digest(mixed: DataFrame) -> DataFrame:
 def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: every document row as often as it is taken, in the columns of ``docs``.
 
-    Equal rows are counted together, so each stands as often as they were given copies.
+    Equal rows are counted together, so each stands as often as they were given copies. Extra
+    columns of ``docs`` pass through whatever their names.
     """
-    key = F.xxhash64("doc_id", "text")
-    total = mixed.groupBy(F.col("doc_id").alias("_doc"), F.col("_text_key").alias("_key")).agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_n")
-    )
-    keyed = docs.withColumn("_key_here", key)
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key_here") == F.col("_key"))
-    joined = keyed.join(total.filter("_copies > 0"), same)
-    rank = F.row_number().over(Window.partitionBy("_doc", "_key").orderBy(F.lit(0)))
+    doc, key, copies, n, here, times, rank_, copy = private(docs, "_doc", "_key", "_copies", "_n", "_key_here", "_times", "_rank", "_copy")
+    total = mixed.groupBy(F.col("doc_id").alias(doc), F.col("_text_key").alias(key)).agg(
+        F.sum("copies").alias(copies), F.count("*").alias(n)
+    )
+    keyed = docs.withColumn(here, F.xxhash64(docs["doc_id"], docs["text"]))
+    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.col(here) == F.col(key))
+    joined = keyed.join(total.filter(F.col(copies) > 0), same)
+    rank = F.row_number().over(Window.partitionBy(doc, key).orderBy(F.lit(0)))
     # Nearly all keys hold one row; only the others are ranked.
-    one = joined.filter("_n = 1").withColumn("_times", F.col("_copies"))
-    more = joined.filter("_n > 1").withColumn("_rank", rank).withColumn(
-        "_times", F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_rank") <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
-    ).drop("_rank")
-    both = one.unionByName(more).filter("_times > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    one = joined.filter(F.col(n) == 1).withColumn(times, F.col(copies))
+    more = joined.filter(F.col(n) > 1).withColumn(rank_, rank).withColumn(
+        times, F.floor(F.col(copies) / F.col(n)) + F.when(F.col(rank_) <= F.col(copies) % F.col(n), 1).otherwise(0)
+    ).drop(rank_)
+    both = one.unionByName(more).filter(F.col(times) > 0)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[docs[c] for c in docs.columns])

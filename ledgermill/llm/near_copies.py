@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import private, stage
 from .graphs import components
 from .lookups import by_ids
 from .word_hashes import mix, run_hashes, sliced, window_places
@@ -342,14 +342,16 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     """The documents with one of each group, the one of smallest id; columns as given.
 
     Of rows that share a kept id, one of smallest text stays. Rows without an id all stay.
+    Extra columns pass through whatever their names.
     """
+    gone, twice = private(docs, "_gone", "_twice")
     groups = stage(near_duplicate_groups(docs, similarity), "op1-kept")
-    dropped = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
+    dropped = groups.filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(dropped, docs["doc_id"] == F.col(gone), "left_anti")
     repeated = groups.filter("doc_id is not null and kept").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1")
-    repeated = stage(repeated.select(F.col("doc_id").alias("_twice")), "op1-twice")
+    repeated = stage(repeated.select(F.col("doc_id").alias(twice)), "op1-twice")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, F.col("doc_id") == F.col("_twice"), "left_anti")
-    one = left.join(repeated, F.col("doc_id") == F.col("_twice"), "left_semi").orderBy("text").dropDuplicates(["doc_id"])
+    once = left.join(repeated, left["doc_id"] == F.col(twice), "left_anti")
+    one = left.join(repeated, left["doc_id"] == F.col(twice), "left_semi").orderBy("text").dropDuplicates(["doc_id"])
     return once.unionByName(one)
