@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,17 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     kept = [name for name in df.columns if name not in names]
     out = df.select(*kept, F.inline(F.array(F.struct(*names))))
     return out.select(*df.columns)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    An aggregate joined back to the rows it came from is already dealt by the join key, so the
+    join shuffles only the rows, and adaptive execution cannot split a key that holds most of
+    them. Read back from storage, both sides are shuffled for the join and a dominant key is split.
+    """
+    from ..session import shared_folder
+
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ from ..functions.text import (
     terms_changed_flag,
     yes_no_text,
 )
-from .common import settle
+from .common import settle, written
 
 # Source header -> column name.
 COLUMN_NAMES = {
@@ -276,9 +276,11 @@ def company_counts(reports: DataFrame) -> DataFrame:
     """Add company_reporting_count and period_report_count to each report.
 
     Both counts come from one aggregate per company and period, which shrinks a company that
-    files most rows before the shuffle. They are joined back instead of counted in a window,
-    so adaptive execution can split such a company's partition. Reports without a company
-    number have no company count; their periods are counted with NULL equal to NULL.
+    files most rows before the shuffle. That aggregate is written first and joined back, so
+    both sides of the joins are shuffled and adaptive execution splits the partition of a
+    company that files most rows (a window, or a join to the aggregate as planned, would keep
+    it in one task). Reports without a company number have no company count; their periods
+    are counted with NULL equal to NULL.
     """
     if "company_number" not in reports.columns:
         return reports.withColumns(
@@ -286,7 +288,7 @@ def company_counts(reports: DataFrame) -> DataFrame:
         )
     company = PERIOD_KEY[0]
     keys = settle(reports.select(*PERIOD_KEY), *PERIOD_KEY)
-    by_period = keys.groupBy(*PERIOD_KEY).agg(F.count("*").alias("period_report_count"))
+    by_period = written(keys.groupBy(*PERIOD_KEY).agg(F.count("*").alias("period_report_count")), "period-counts")
     by_company = by_period.groupBy(company).agg(
         F.sum("period_report_count").alias("company_reporting_count")
     )

@@ -89,3 +89,36 @@ def test_file_job(spark, tmp_path):
               for r in spark.read.json(result["outputs"]["quality_report"]).collect()}
     assert report["size", "row_count"] == 2 and report["issue_counts", "missing_required_fields"] == 1
     assert report["missingness", "company_number"] == 1
+
+
+def test_dominant_company_is_split(spark):
+    """Counts joined back on a company that files most reports: the final plan splits it."""
+    from pyspark.sql import functions as F
+
+    from ledgermill.operators.payments import PERIOD_KEY, company_counts
+
+    settings = {
+        "spark.sql.adaptive.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(20000).select(
+            F.when(F.col("id") % 10 < 8, F.lit("HOT")).otherwise((F.col("id") % 997).cast("string")).alias(PERIOD_KEY[0]),
+            *[(F.col("id") % 3).cast("string").alias(k) for k in PERIOD_KEY[1:]],
+            F.col("id").alias("report"),
+        ).repartition(8)
+        counted = company_counts(rows)
+        got = counted.filter(F.col(PERIOD_KEY[0]) == "HOT").select("company_reporting_count").distinct().collect()
+        assert [r[0] for r in got] == [16000]
+        counted.collect()  # runs the plan read below
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
