@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import global_rank
+
 from ..functions.conditions import first_match, is_filled
 from ..functions.risk import ESCALATE, FOLLOW_UP, REMIND
 from ..functions.text import fill
@@ -153,6 +155,12 @@ def resolve_closed(
     return marked.withColumns(changes).drop("closed_assessment", "closed_invoice")
 
 
-def generation_order(assessments: DataFrame) -> DataFrame:
-    """Assessments in the order actions are generated: riskiest and latest first."""
-    return assessments.orderBy(F.desc("risk_score"), F.desc("days_overdue"), F.asc("assessment_id"))
+# Fixed: actions are generated by risk score, then days overdue, both descending, then by
+# assessment; missing numbers come last, a missing id first.
+def generation_order() -> list[Column]:
+    return [F.col("risk_score").desc_nulls_last(), F.col("days_overdue").desc_nulls_last(), F.col("assessment_id").asc_nulls_first()]
+
+
+def generation_ranked(candidates: DataFrame) -> DataFrame:
+    """Action candidates with ``generation_rank``, their place (from 1) in generation order."""
+    return global_rank(candidates, generation_order(), "generation_rank")

@@ -62,3 +62,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def global_rank(df: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """``df`` with ``name``, the place (from 1) of each row in ``order``, which should be total.
+
+    Rows are dealt into ranges of the order (a range shuffle) and written once, so the ranges
+    stay as they were cut when a task is run again. Each range counts its rows; the counts of
+    earlier ranges (one row per range) are summed into offsets, and rows are numbered inside
+    their range: no window holds all rows, and no task more than one range.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranked")
+    from pyspark.sql import Window
+
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    offsets = counts.select(
+        "_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset")
+    )
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return ranged.join(offsets, "_range").withColumn(name, F.col("_offset") + F.row_number().over(inside)).drop("_range", "_offset")

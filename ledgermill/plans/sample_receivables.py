@@ -153,6 +153,13 @@ def actions_new(spark, sf_dir):
     return _scoreless(fresh.drop("action_id", "assigned_to"))
 
 
+def actions_ranked(spark, sf_dir):
+    """Action candidates in the order actions are generated, ranked without one task."""
+    i = Inputs(spark, sf_dir)
+    ranked = actions.generation_ranked(actions.action_candidates(i.identified(), i.analysis_date()))
+    return ranked.select("assessment_id", "action_type", "priority", "generation_rank")
+
+
 def actions_skipped(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     skipped = actions.skipped_actions(i.identified(), i.resolved_actions(), i.analysis_date())
@@ -342,6 +349,7 @@ QUERIES = {
     "assessment_close": assessment_close,
     "actions_new": actions_new,
     "actions_skipped": actions_skipped,
+    "actions_ranked": actions_ranked,
     "actions_resolve": _with(lambda i: i.resolved_actions()),
     "audit_customers": audit_customers,
     "audit_assessments": audit_assessments,

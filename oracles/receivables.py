@@ -541,6 +541,10 @@ select receivables_customer, receivables_invoice, assessment_id as invoice_risk_
 from candidates as c where not exists (select 1 from ({_BLOCKED}) as b
   where b.external_invoice_id = c.external_invoice_id and b.action_type = c.action_type)""",
         CUSTOMERS, _LOW, STATE),
+    "actions_ranked": _from("""
+select assessment_id, action_type, priority,
+  row_number() over (order by risk_score desc nulls last, days_overdue desc nulls last, assessment_id asc nulls first) as generation_rank
+from candidates""", CUSTOMERS, _LOW, STATE),
     "actions_skipped": _from(f"""
 select action_type, priority, count(*) as skipped from candidates as c
 where exists (select 1 from ({_BLOCKED}) as b

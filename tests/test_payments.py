@@ -122,3 +122,25 @@ def test_dominant_company_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_global_rank_over_ranges(spark):
+    """Places in a total order from range counts and offsets, across many ranges."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ledgermill.operators.common import global_rank
+
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 5, 5, 5, 7, rng.randint(0, 99)]), rng.randint(0, 3), f"a{k:05d}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "risk_score int, days_overdue int, assessment_id string")
+    order = [F.col("risk_score").desc_nulls_last(), F.col("days_overdue").desc_nulls_last(), F.col("assessment_id").asc_nulls_first()]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {r["assessment_id"]: r["rank"] for r in global_rank(df, order, "rank").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is None, -(r[1] or 0), r[2]))
+    assert got == {r[2]: k + 1 for k, r in enumerate(want)}
