@@ -93,6 +93,34 @@ def score_bands(spark, sf_dir):
     )
 
 
+# Fixed, given coefficients and intercept: what scoring makes of a linear model's numbers.
+GIVEN_COEFFICIENTS = {
+    "pct_paid_within_30": -0.04,
+    "pct_paid_later_60": 0.05,
+    "pct_not_paid_within_terms": 0.03,
+    "shortest_standard_payment_period": 0.01,
+}
+GIVEN_INTERCEPT = -1.5
+
+
+def linear_driver_bands(spark, sf_dir):
+    """Band, label and strongest drivers of each model-ready report under given coefficients,
+    counted by combination: the scoring rules without a fitted model, so SQL can check them."""
+    rows = model_rows(spark, sf_dir)
+    names = list(GIVEN_COEFFICIENTS)
+    values = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]
+    up, down = scoring.linear_drivers(F.array(*values), names, list(GIVEN_COEFFICIENTS.values()), 1)
+    logit = sum((v * c for v, c in zip(values, GIVEN_COEFFICIENTS.values())), F.lit(GIVEN_INTERCEPT))
+    probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+    shown = rows.select(
+        F.coalesce(F.get(up, 0)["feature"], F.lit("")).alias("top_up"),
+        F.coalesce(F.get(down, 0)["feature"], F.lit("")).alias("top_down"),
+        scoring.probability_band(probability, 0.5).alias("risk_band"),
+        (probability >= 0.5).cast("int").alias("predicted_label"),
+    )
+    return shown.groupBy("top_up", "top_down", "risk_band", "predicted_label").agg(F.count("*").alias("rows"))
+
+
 def train_split(spark, sf_dir):
     rows = columns.training_rows(model_rows(spark, sf_dir))
     train, test = split.split_by_company(rows, columns.GROUP)
@@ -158,6 +186,7 @@ QUERIES = {
     "model_select": model_select,
     "model_best_baseline": model_best_baseline,
     "score_bands": score_bands,
+    "linear_driver_bands": linear_driver_bands,
     "train_split": train_split,
     "split_members": split_members,
     "fill_values": fill_values,

@@ -116,6 +116,28 @@ select '{name}', null, null,
      where side = 'train' and {name} is not null group by 1) as c order by n desc, v limit 1)"""
 
 
+
+_GIVEN = [("pct_paid_within_30", -0.04), ("pct_paid_later_60", 0.05), ("pct_not_paid_within_terms", 0.03),
+          ("shortest_standard_payment_period", 0.01)]
+
+
+def _driver_bands() -> str:
+    """Band, label and the strongest drivers under given coefficients, counted by combination."""
+    value = [f"coalesce(cast({n} as double), 0)" for n, _ in _GIVEN]
+    parts = [f"round_even({v} * {c}, 6)" for v, (_, c) in zip(value, _GIVEN)]
+    up = ", ".join(f"{{'k': -{p}, 'p': {i}, 'n': '{n}'}}" for i, (p, (n, _)) in enumerate(zip(parts, _GIVEN)))
+    down = ", ".join(f"{{'k': {p}, 'p': {i}, 'n': '{n}'}}" for i, (p, (n, _)) in enumerate(zip(parts, _GIVEN)))
+    logit = " + ".join(f"{v} * {c}" for v, (_, c) in zip(value, _GIVEN))
+    return _PUB + f"""
+select top_up, top_down, case when p >= 0.5 then 'High' when p >= 0.3 then 'Medium' else 'Low' end as risk_band,
+  (p >= 0.5)::integer as predicted_label, count(*) as rows
+from (select coalesce(list_sort(list_filter([{up}], lambda e: e.k < 0))[1].n, '') as top_up,
+        coalesce(list_sort(list_filter([{down}], lambda e: e.k < 0))[1].n, '') as top_down,
+        1.0 / (1.0 + exp(-(-1.5 + {logit}))) as p
+      from flagged where not is_rejected) as x
+group by all"""
+
+
 ORACLES = {
     "thresholds": _WITH + _report(_GRID),
     "thresholds_by_model": _WITH + "select * from by_model",
@@ -158,6 +180,7 @@ join results as f on f.model_name = case when b.model_name is null or w.model_na
   or w.f1 >= b.f1 + 0.02::double then w.model_name else b.model_name end""",
     "model_best_baseline": _WITH + """
 select model_name, f1, roc_auc from results order by f1 desc, roc_auc desc, model_name limit 1""",
+    "linear_driver_bands": _driver_bands(),
     "score_bands": _WITH + """
 select case when score >= 0.6 then 'High' when score >= 0.3 then 'Medium' else 'Low' end as risk_band,
   count(*) as rows, cast(sum(label) as bigint) as positives from scored group by 1""",
