@@ -62,6 +62,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(docs, items))
 
 
+def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity half of op9 over whole tables: per document, windows whose two rarest terms
+    stand within 20 words, and how many of those stand as in the window."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    near = decontamination.proximity_matches(docs, items)
+    return near.groupBy("doc_id").agg(
+        F.count("*").alias("n_near"), F.count_if("exact").alias("n_in_order"), F.min("nearest").alias("nearest")
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -88,6 +98,7 @@ QUERIES = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
+    "op9_proximity": op9_proximity,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
     "op12_hard_negatives": op12_hard_negatives,

@@ -159,3 +159,36 @@ def test_own_templates(spark, documents):
 
 def test_licences_of_no_documents(spark, documents):
     assert licences.digest(licences.scan_licences(documents([]))).count() == 0
+
+
+def test_proximity_against_brute_force(spark, documents):
+    """Every window's two rarest terms (by occurrences in all documents, ties to the earlier
+    place) within the distance, in any order, in every document."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 80))) for _ in range(60)] + [None, ""]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 14)))) for k in range(6)]
+    docs = documents(list(enumerate(texts)))
+    item_frame = spark.createDataFrame(items, "item_id long, text string")
+    distance, window = 6, 10
+    got = {(r["doc_id"], r["gram"]): (r["nearest"], r["exact"])
+           for r in decontamination.proximity_matches(docs, item_frame, distance, window).collect()}
+
+    words = {k: plain(t) for k, t in enumerate(texts)}
+    counts = Counter(w for ws in words.values() for w in ws)
+    grams = set()
+    for _, text in items:
+        ws = plain(text)
+        for s in range(max(len(ws) - window, 0) + 1):
+            grams.add(tuple(ws[s : s + window]))
+    want = {}
+    for gram in grams:
+        rare = sorted((counts[t], at, t) for at, t in enumerate(gram))[:2]
+        (_, at1, t1), (_, at2, t2) = rare[0], rare[-1]
+        for doc, ws in words.items():
+            gaps = [q - p for p, a in enumerate(ws) if a == t1 for q, b in enumerate(ws) if b == t2 and abs(q - p) <= distance]
+            if gaps:
+                want[doc, " ".join(gram)] = (min(abs(g) for g in gaps), any(g == at2 - at1 for g in gaps))
+    assert got == want and len(want) > 20
