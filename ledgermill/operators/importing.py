@@ -82,13 +82,15 @@ def import_problems(rows: DataFrame) -> DataFrame:
 
 
 def last_row_per_key(rows: DataFrame, key: str, order: str = "row_number") -> DataFrame:
-    """The last row of each key in file order.
+    """The last row of each key in file order (``order`` is unique per row).
 
-    Finding the last row number is a plain map-side aggregate, so a key that repeats very
-    often is reduced before the shuffle; the row itself is then fetched by its number.
+    One aggregate keeps, for each key, the whole row with the largest ``order`` (max_by of the
+    row); it is combined before the shuffle, so a key that repeats very often is reduced on the
+    map side, and the rows need no second shuffle to be fetched back.
     """
-    last = rows.groupBy(key).agg(F.max(order).alias(order))
-    return rows.join(last.select(order), order, "left_semi")
+    others = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_last"))
+    return last.select(key, *[F.col(f"_last.`{c}`").alias(c) for c in others]).select(*rows.columns)
 
 
 def merge_counts(rows: DataFrame, current: DataFrame, key: str) -> DataFrame:
