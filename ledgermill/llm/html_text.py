@@ -319,13 +319,10 @@ def _sample(pages: DataFrame):
 
 def train(pages: DataFrame, size: int = TRAIN_PAGES) -> dict:
     """The CRF fitted on at most ``size`` labelled pages of up to TRAIN_HTML characters."""
-    chosen = (
-        pages.filter(F.length("html") <= TRAIN_HTML)
-        .select("html", F.xxhash64("page_id", "url").alias("_order"))
-        .orderBy("_order")
-        .limit(size)
-        .select("html")
-    )
+    # The sample is chosen by keys alone; only its pages' html is then read.
+    keyed = pages.filter(F.length("html") <= TRAIN_HTML).select("html", F.xxhash64("page_id", "url").alias("_order"))
+    first = keyed.select("_order").orderBy("_order").limit(size)
+    chosen = keyed.join(F.broadcast(first), "_order", "left_semi").dropDuplicates(["_order"]).select("html")
     rows = _sample(chosen).collect()
     return fit([(r["feats"], r["labels"]) for r in rows])
 
