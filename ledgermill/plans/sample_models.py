@@ -121,6 +121,16 @@ def linear_driver_bands(spark, sf_dir):
     return shown.groupBy("top_up", "top_down", "risk_band", "predicted_label").agg(F.count("*").alias("rows"))
 
 
+def majority_baseline(spark, sf_dir):
+    """Default metrics of the majority-class baseline on the test side: a model without a fit,
+    so SQL can check it. Its score is 1 when more than half of the training labels are 1."""
+    rows = columns.training_rows(model_rows(spark, sf_dir))
+    train, test = split.split_by_company(rows, columns.GROUP)
+    counts = models.class_counts(train)
+    scored = models.scored_rows(models.model_registry()["dummy_majority"], test, counts, 42)
+    return metrics.default_metrics(scored, F.col("predicted"), probability="score")
+
+
 def train_split(spark, sf_dir):
     rows = columns.training_rows(model_rows(spark, sf_dir))
     train, test = split.split_by_company(rows, columns.GROUP)
@@ -187,6 +197,7 @@ QUERIES = {
     "model_best_baseline": model_best_baseline,
     "score_bands": score_bands,
     "linear_driver_bands": linear_driver_bands,
+    "majority_baseline": majority_baseline,
     "train_split": train_split,
     "split_members": split_members,
     "fill_values": fill_values,

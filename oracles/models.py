@@ -181,6 +181,13 @@ join results as f on f.model_name = case when b.model_name is null or w.model_na
     "model_best_baseline": _WITH + """
 select model_name, f1, roc_auc from results order by f1 desc, roc_auc desc, model_name limit 1""",
     "linear_driver_bands": _driver_bands(),
+    "majority_baseline": _PUB + _SPLIT + f""",
+share as (select count(*) filter (slow_payer_label = 1)::double / greatest(count(*), 1) as s from sides where side = 'train'),
+scored as (select slow_payer_label as label, case when (select s from share) > 0.5 then 1.0 else 0.0 end as score
+           from sides where side = 'test')
+select cast(printf('%.4f', (tp + tn)::double / (tp + fp + tn + fn)) as double) as accuracy, {_RATES},
+  cast(printf('%.6f', brier) as double) as brier_score
+from (select {_counts('score > 0.5')}, avg((score - label) * (score - label)) as brier from scored) as c""",
     "score_bands": _WITH + """
 select case when score >= 0.6 then 'High' when score >= 0.3 then 'Medium' else 'Low' end as risk_band,
   count(*) as rows, cast(sum(label) as bigint) as positives from scored group by 1""",
