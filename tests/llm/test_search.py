@@ -192,3 +192,34 @@ def test_proximity_against_brute_force(spark, documents):
             if gaps:
                 want[doc, " ".join(gram)] = (min(abs(g) for g in gaps), any(g == at2 - at1 for g in gaps))
     assert got == want and len(want) > 20
+
+
+def test_components_split_a_hub(spark):
+    """A node linked to most others gives right components with minima written before joins.
+
+    The joins run inside the rounds, whose plans the returned frame does not hold; the test
+    looks at the result, under settings that make the hub a skewed partition."""
+    from pyspark.sql import functions as F
+
+    from ledgermill.llm import graphs
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        hub = spark.range(1, 5000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        pairs = spark.range(6000, 6400).select(F.col("id").alias("a"), (F.col("id") + 400).alias("b"))
+        found = graphs.components(hub.unionByName(pairs))
+        got = {r["id"]: r["component"] for r in found.collect()}
+        assert all(got[k] == 0 for k in range(5000)) and len(got) == 5000 + 800
+        assert all(got[6000 + k] == got[6400 + k] == 6000 + k for k in range(400))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
