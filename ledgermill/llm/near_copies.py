@@ -290,7 +290,8 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     links of all of them.
     """
     signed = stage(document_signatures(docs), "op1-signatures")
-    bags = signed.groupBy("bag", "n_runs").agg(F.min("id").alias("bag_id"))
+    # Written before it is joined back, so that a bag of very many exact copies is split.
+    bags = stage(signed.groupBy("bag", "n_runs").agg(F.min("id").alias("bag_id")), "op1-bag-ids")
     member = stage(signed.join(bags, ["bag", "n_runs"]).select("id", "bag_id").distinct(), "op1-members")
     signatures = stage(
         by_ids(signed, stage(member.select(F.col("bag_id").alias("id")).distinct(), "op1-bags"))
