@@ -202,7 +202,7 @@ def read_payment_reports(
 def read_ml_ready(spark: SparkSession, path: str) -> DataFrame:
     """Model-ready rows, Parquet or CSV; the company number stays text."""
     if str(path).lower().rstrip("/").endswith("csv"):
-        rows = _scan(spark, True).csv(path)
+        rows = read_quoted(spark, path).drop("row_index", "row_number")  # fields may hold line breaks
         return rows.withColumn(GROUP, F.col(GROUP).cast("string"))
     return spark.read.parquet(path)
 
