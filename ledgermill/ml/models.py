@@ -123,12 +123,14 @@ def exact_medians(rows: DataFrame, names: list[str]) -> dict[str, float | None]:
     return found
 
 
-def preprocessor(train: DataFrame, medians: dict[str, float | None] | None = None) -> Pipeline:
+def preprocessor(
+    train: DataFrame, medians: dict[str, float | None] | None = None, modes: dict[str, str | None] | None = None
+) -> Pipeline:
     """Median fill and scaling of numbers, most-frequent fill and one-hot of categories.
 
-    A category unseen in training becomes all zeros. ``medians`` are computed if not given.
+    A category unseen in training becomes all zeros. ``medians`` and ``modes`` are computed if not given.
     """
-    modes = most_frequent(train, CATEGORICAL_FEATURES)
+    modes = modes if modes is not None else most_frequent(train, CATEGORICAL_FEATURES)
     medians = medians if medians is not None else exact_medians(train, NUMERIC_FEATURES)
     labels = train.agg(*[F.approx_count_distinct(c).alias(c) for c in CATEGORICAL_FEATURES]).first()
     wide = [c for c in CATEGORICAL_FEATURES if labels[c] > MAX_CATEGORIES]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ml import columns, jobs, metrics, models, scoring, split
+from ..operators.common import written
 from ..session import shared_folder
 from ..sources import sample_tables as samples
 from .sample_enrichment import model_rows
@@ -16,6 +17,11 @@ from .sample_enrichment import model_rows
 HIGH_FLOOR = 1.01
 
 
+def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training rows, written once: the split, the counts and every fit read them again."""
+    return written(columns.training_rows(model_rows(spark, sf_dir)), "training-rows")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.mapped(spark, sf_dir, samples.SCORED_ROWS)
 
@@ -124,7 +130,7 @@ def linear_driver_bands(spark, sf_dir):
 def majority_baseline(spark, sf_dir):
     """Default metrics of the majority-class baseline on the test side: a model without a fit,
     so SQL can check it. Its score is 1 when more than half of the training labels are 1."""
-    rows = columns.training_rows(model_rows(spark, sf_dir))
+    rows = labelled_rows(spark, sf_dir)
     train, test = split.split_by_company(rows, columns.GROUP)
     counts = models.class_counts(train)
     scored = models.scored_rows(models.model_registry()["dummy_majority"], test, counts, 42)
@@ -132,14 +138,14 @@ def majority_baseline(spark, sf_dir):
 
 
 def train_split(spark, sf_dir):
-    rows = columns.training_rows(model_rows(spark, sf_dir))
+    rows = labelled_rows(spark, sf_dir)
     train, test = split.split_by_company(rows, columns.GROUP)
     return split.split_summary(rows, train, test, columns.GROUP, columns.TARGET)
 
 
 def split_members(spark, sf_dir):
     """Every company with its side of the split and its rows."""
-    rows = columns.training_rows(model_rows(spark, sf_dir))
+    rows = labelled_rows(spark, sf_dir)
     train, test = split.split_by_company(rows, columns.GROUP)
     sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
     return sides.groupBy(columns.GROUP, "side").agg(F.count("*").alias("rows"))
@@ -147,19 +153,19 @@ def split_members(spark, sf_dir):
 
 def fill_values(spark, sf_dir):
     """What the preprocessing learns from the training side: medians, modes, means after filling."""
-    rows = columns.training_rows(model_rows(spark, sf_dir))
+    rows = labelled_rows(spark, sf_dir)
     train, _ = split.split_by_company(rows, columns.GROUP)
     medians = models.exact_medians(train, columns.NUMERIC_FEATURES)
-    stages = models.preprocessor(train, medians).fit(train).stages
-    means = dict(zip(columns.NUMERIC_FEATURES, stages[2].mean.toArray().tolist(), strict=True))
     modes = models.most_frequent(train, columns.CATEGORICAL_FEATURES)
+    stages = models.preprocessor(train, medians, modes).fit(train).stages
+    means = dict(zip(columns.NUMERIC_FEATURES, stages[2].mean.toArray().tolist(), strict=True))
     found = [(name, float(medians[name]), round(means[name], 6), None) for name in columns.NUMERIC_FEATURES]
     found += [(name, None, None, modes[name]) for name in columns.CATEGORICAL_FEATURES]
     return spark.createDataFrame(found, "feature string, median double, mean double, mode string")
 
 
 def class_weights(spark, sf_dir):
-    rows = columns.training_rows(model_rows(spark, sf_dir))
+    rows = labelled_rows(spark, sf_dir)
     train, _ = split.split_by_company(rows, columns.GROUP)
     counts = models.class_counts(train)
     weighted = train.select(columns.TARGET, models.balanced_weight(counts).alias("weight"))

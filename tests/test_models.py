@@ -195,3 +195,24 @@ def test_exact_medians_by_counting(spark, monkeypatch):
 
     got = m.exact_medians(df, list("abcde"))
     assert got == {n: lower_median([r[i] for r in rows]) for i, n in enumerate("abcde")}
+
+
+def test_fill_values_derives_the_rows_once(spark, tmp_path, monkeypatch):
+    """The split and every fit read written training rows, not the whole preparation again."""
+    from ledgermill.plans import sample_models
+
+    tables = str(tmp_path)
+    n = F.col("id")
+    spark.range(4000).select(
+        n.alias("l_orderkey"), (n % 40).alias("l_suppkey"), (n % 7).cast("int").alias("l_linenumber"),
+        F.expr("timestamp'1995-01-01' + make_dt_interval(cast(id * 13 % 1500 as int))").alias("l_shipdate"),
+    ).write.parquet(f"{tables}/lineitem.parquet")
+    seen = []
+    split_rows = sample_models.split.split_by_company
+    monkeypatch.setattr(
+        sample_models.split, "split_by_company", lambda rows, *a: seen.append(rows.inputFiles()) or split_rows(rows, *a)
+    )
+    for name in ("fill_values", "class_weights", "train_split", "split_members", "majority_baseline"):
+        sample_models.QUERIES[name](spark, tables)
+    assert len(seen) == 5
+    assert all(files and all("lineitem" not in f for f in files) for files in seen)
