@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..session import shared_folder
 from ..sources import files
 from . import metrics
 from .columns import FEATURES, GROUP, LEAKAGE_COLUMNS, TARGET, training_rows
+from .forests import fit_forest
 from .models import WEIGHT, ModelSpec, balanced_weight, class_counts, model_registry, preprocessor, scored_rows
 from .scoring import DEFAULT_THRESHOLD, importance_rows, score_rows
 from .split import split_by_company, split_summary
@@ -76,8 +78,12 @@ def fit_and_score(
     start = time.perf_counter()
     model = None
     if spec.build is not None:
-        estimator = spec.build(sum(data.counts.values()), seed)
-        model = Pipeline(stages=[estimator]).fit(data.train_features)
+        rows = sum(data.counts.values())
+        estimator = spec.build(rows, seed)
+        if isinstance(estimator, RandomForestClassifier):
+            model = fit_forest(estimator, data.train_features, rows, f"{data.work}/forests/{name}")
+        else:
+            model = Pipeline(stages=[estimator]).fit(data.train_features)
     fitted = time.perf_counter()
     predictions = model.transform(data.test_features) if model else data.test_features
     path = f"{data.work}/scored/{name}"

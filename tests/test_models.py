@@ -216,3 +216,31 @@ def test_fill_values_derives_the_rows_once(spark, tmp_path, monkeypatch):
         sample_models.QUERIES[name](spark, tables)
     assert len(seen) == 5
     assert all(files and all("lineitem" not in f for f in files) for files in seen)
+
+
+def test_forest_beyond_the_driver_is_built_in_blocks(spark, tmp_path, monkeypatch):
+    """No fit or load holds more trees than their bound on nodes allows; all trees vote."""
+    from ledgermill.ml import forests
+
+    fits, whole = [], forests.RandomForestClassifier._fit
+    monkeypatch.setattr(
+        forests.RandomForestClassifier, "_fit", lambda self, rows: fits.append(self.getNumTrees()) or whole(self, rows)
+    )
+    data = jobs.prepare(payment_rows(spark))
+    spec = models.ModelSpec(models._forest(12))
+    small = jobs.fit_and_score("small", spec, data)[1]
+    assert fits == [12]
+    fits.clear()
+    monkeypatch.setattr(forests, "NODES", 300)
+    model, scored, _, _ = jobs.fit_and_score("blocks", spec, data)
+    assert sum(fits) == 12 and len(fits) > 1 and fits[0] == forests.trees_at_once(sum(data.counts.values()), 10)
+    assert scored.count() == small.count()
+    auc = [metrics.ranking_metrics(metrics.score_curve(s)).first()["roc_auc"] for s in (small, scored)]
+    assert min(auc) > 0.8
+    path = jobs.save_model(model, data.stages, str(tmp_path / "forest"))
+    prepared, loaded = jobs.load_model(path)
+    again = scoring.score_rows(payment_rows(spark), prepared, loaded, keep=["company_number"])
+    assert again.count() == 360 and again.filter("probability between 0 and 1").count() == 360
+    assert len(scoring.importance_rows(loaded, prepared, "f")) == len(models.feature_names(prepared))
+    raw = loaded.transform(prepared.transform(payment_rows(spark))).select(forests.vector_to_array("rawPrediction").alias("v"))
+    assert all(abs(sum(r["v"]) - 12) < 1e-9 for r in raw.collect())
