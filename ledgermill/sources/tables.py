@@ -45,6 +45,12 @@ def part_of(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(PARTS)).cast("int")
 
 
+def _by_part(df: DataFrame) -> DataFrame:
+    """Rows dealt by partition, so that a partition has one file or, when large, a few: without
+    this every task writes a file into each partition. Adaptive execution splits large ones."""
+    return df.hint("rebalance", F.col(PART))
+
+
 class TableStore:
     """Named tables under one root folder."""
 
@@ -92,7 +98,7 @@ class TableStore:
             number += 1
         where = f"{self.path(name)}/v{number:06d}"
         if name in KEYS:
-            df.withColumn(PART, part_of(KEYS[name])).write.mode("overwrite").partitionBy(PART).parquet(where)
+            _by_part(df.withColumn(PART, part_of(KEYS[name]))).write.mode("overwrite").partitionBy(PART).parquet(where)
         else:
             df.write.mode("overwrite").parquet(where)
         self._expire(name)
@@ -127,7 +133,7 @@ class TableStore:
         staged = self.staging(f"merge-{name}", run)
         out.write.mode("overwrite").parquet(staged)
         written = self.spark.read.parquet(staged)
-        written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(where)
+        _by_part(written).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(where)
         return self.spark.read.parquet(staged).drop(PART)
 
     def append(self, name: str, df: DataFrame, run: str) -> DataFrame:

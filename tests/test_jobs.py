@@ -217,3 +217,31 @@ def test_one_key_import_rewrites_one_partition(spark, tmp_path):
     c7 = store.read("customers").filter("customer_id = 'C7'").first()
     assert (c7["invoice_count"], c7["customer_name"]) == (1, "Acme Ltd")
     assert store.read("customers").count() == 200
+
+
+def test_a_keyed_table_has_one_file_per_partition(spark, tmp_path):
+    """Not one from every task: files would grow with tasks times partitions."""
+    from ledgermill.sources import tables
+
+    store = TableStore(spark, str(tmp_path / "store"))
+    rows = spark.range(0, 6400, 1, 8).select(F.col("id").cast("string").alias("customer_id"))
+    store.replace("customers", rows)
+    assert len(store.current("customers").inputFiles()) == tables.PARTS
+    store.merge("customers", rows, lambda now: now.repartition(8), "r")
+    assert len(store.current("customers").inputFiles()) == tables.PARTS
+    assert store.read("customers").select("customer_id").distinct().count() == 6400
+
+
+def test_import_types_its_rows_once(spark, tmp_path, monkeypatch):
+    """Rejected rows come from the written rows, which are not typed again for them."""
+    from ledgermill.plans import import_job
+
+    sides, split = [], import_job.constraints.split_checked
+    monkeypatch.setattr(import_job.constraints, "split_checked", lambda df: sides.append(df.inputFiles()) or split(df))
+    store = TableStore(spark, str(tmp_path / "store"))
+    rows = [(1, "C1", "I1", "5.00"), (2, "C1", "I2", "-5.00"), (3, "", "I3", "1.00")]
+    data = spark.createDataFrame(rows, "row_number long, customer_id string, invoice_id string, invoice_amount string")
+    import_job.import_rows(store, data, "2020-05-31", F.lit(None).cast("timestamp"), "r")
+    assert sides and all("/rows/" in f for f in sides[0]) and sides[0]
+    assert [r[0] for r in store.read("invoices").select("invoice_id").collect()] == ["I1"]
+    assert sorted(r[0] for r in store.read_appended("rejects").select("row_key").collect()) == ["2", "3"]
